@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import survivor, tokens, visual
+from kinweave.llm import mojibake, survivor, titles, tokens, visual
 from kinweave.plans.workspace import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_records(table(spark, d, "gedcom_lines")).select("file_id", "line_no")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_records(table(spark, d, "gedcom_lines"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "persons"))
 
@@ -32,6 +40,17 @@ def p5_names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return titles.occupation_codes(table(spark, d, "occupations"), table(spark, d, "title_reference"))
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The titles that mean none of the list, with the number of occupations."""
+    latest = titles.match_titles(table(spark, d, "occupations").where("title is not null"), table(spark, d, "title_reference"))
+    none = latest.where(F.col("title_code") == titles.NONE).select("title")
+    return table(spark, d, "occupations").join(none, "title").groupBy("title").agg(F.countDistinct("id").alias("n_occupations"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_table(table(spark, d, "documents"))
 
@@ -56,11 +75,15 @@ r AS (
 SELECT id AS person_id, field_name, row_id FROM r WHERE k = 1"""
 
 QUERIES = {
+    "p2_found": (p2_found, None),
+    "p2_restored": (p2_restored, None),
     "p4_found": (p4_found, _P4),
     "p4_truth": (p4_truth, None),
     "p4_sources": (p4_sources, None),
     "p5_found": (p5_found, None),
     "p5_names": (p5_names, None),
+    "p7_found": (p7_found, None),
+    "p7_unmatched": (p7_unmatched, None),
     "p8_ids": (p8_ids, None),
     "p8_decoded": (p8_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
 }
