@@ -41,6 +41,7 @@ MAX_ITEM_WORDS = 20_000_000
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});|\]\([^()\s]{1,200}\)")
 _WORD = re.compile(r"[^\W_]+")
+_BREAKS = str.maketrans("\n\r\t\v\f", "     ")
 
 
 def _fold(word: str) -> str:
@@ -52,7 +53,7 @@ def _fold(word: str) -> str:
 
 def words(text: str) -> list[str]:
     if not text.isascii():
-        text = consistent.__wrapped__(text)
+        text = consistent.__wrapped__(text.translate(_BREAKS))
     if "<" in text or "&" in text or "](" in text:
         text = _MARKUP.sub(" ", text)
     return _WORD.findall(text)
@@ -274,7 +275,7 @@ def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]
                 best[2] = max(best[2] + n - PENALTY, n)
                 best[4] = max(best[4], best[2])
         good = [s for s in spans if s[4] >= LEAST]
-        if not good:
+        if sum(s[1] - s[0] for s in good) < MIN_WORDS:  # an alignment does not reach beyond its span
             continue
         whole = items.texts[ri[a]]
         # windows around the spans, joined where they overlap
@@ -286,8 +287,6 @@ def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]
                 windows[-1][1] = max(hi, windows[-1][1])
             else:
                 windows.append([lo, hi])
-        if sum(hi - lo for lo, hi in windows) < MIN_WORDS:
-            continue
         places_ = np.concatenate([np.append(np.arange(lo, hi), -1) for lo, hi in windows])
         window = np.where(places_ >= 0, document[places_], 0)
         for matched, start, stop in align(whole, window):

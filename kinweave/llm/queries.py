@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import mojibake, survivor, titles, tokens, visual
+from kinweave.llm import leaks, mojibake, survivor, titles, tokens, visual
 from kinweave.plans.workspace import table
 
 
@@ -60,6 +60,14 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_table(tokens.encode_table(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_removal_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 _P4 = """
 WITH c AS (
   SELECT id, row_id, count(*) OVER (PARTITION BY id) AS n, try_cast(updated_at AS TIMESTAMPTZ) AS changed,
@@ -86,4 +94,6 @@ QUERIES = {
     "p7_unmatched": (p7_unmatched, None),
     "p8_ids": (p8_ids, None),
     "p8_decoded": (p8_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+    "p9_found": (p9_found, None),
+    "p9_removal_spans": (p9_removal_spans, None),
 }

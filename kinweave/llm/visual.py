@@ -61,8 +61,9 @@ def _plain(ch: str) -> str:
 
 
 @functools.cache
-def _tables() -> tuple[re.Pattern, dict[str, str]]:
-    """The compiled pattern and the mapping of all single characters and all accented pairs."""
+def _tables() -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
+    """The compiled pattern, the mapping of all single characters and all accented pairs, and the characters
+    without which a text has nothing to map."""
     mapping: dict[str, str] = {}
 
     def add(key: str, value: str) -> None:
@@ -91,12 +92,14 @@ def _tables() -> tuple[re.Pattern, dict[str, str]]:
     # any base with the marks, sound marks and invisible characters after it is one cluster
     trail = "̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚ﾞﾟ︀-️︠-︯­͏​-‏⁠-⁤﻿"
     single = "".join(sorted(re.escape(x) for x in touched))
-    return re.compile(f"[^{trail}][{trail}]+|[{trail}]+|[\x00-\x1f\x7f{single}]"), mapping
+    pattern = re.compile(f"[^{trail}][{trail}]+|[{trail}]+|[\x00-\x1f\x7f{single}]")
+    marks = {chr(o) for a, b in re.findall("(.)-(.)|.", trail) if a for o in range(ord(a), ord(b) + 1)} | set(trail)
+    return pattern, mapping, frozenset(marks - {"-"} | {k for k in mapping if len(k) == 1})
 
 
 @functools.lru_cache(1 << 16)
 def _cluster(cluster: str) -> str:
-    pattern, mapping = _tables()
+    _, mapping, _ = _tables()
     if cluster in mapping:
         return mapping[cluster]
     # marks and invisible characters mixed: the rule, as the table holds each base with its own marks only
@@ -138,8 +141,9 @@ def consistent(text: str, latin_field: bool = False) -> str:
     """The one consistent form of a text."""
     if text.isascii() and text.isprintable():
         return text
-    pattern, _ = _tables()
-    text = pattern.sub(lambda m: _cluster(m[0]), text)
+    pattern, _, touched = _tables()
+    if not touched.isdisjoint(text):
+        text = pattern.sub(lambda m: _cluster(m[0]), text)
     if not (_CYRILLIC.search(text) or _GREEK.search(text)):
         return text
     latin_value = bool(_LATIN.search(text))
