@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import leaks, mojibake, survivor, titles, tokens, visual
+from kinweave.llm import abuse, leaks, mojibake, survivor, titles, tokens, visual
 from kinweave.plans.workspace import table
 
 
@@ -68,6 +68,18 @@ def p9_removal_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.offending(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 _P4 = """
 WITH c AS (
   SELECT id, row_id, count(*) OVER (PARTITION BY id) AS n, try_cast(updated_at AS TIMESTAMPTZ) AS changed,
@@ -94,6 +106,9 @@ QUERIES = {
     "p7_unmatched": (p7_unmatched, None),
     "p8_ids": (p8_ids, None),
     "p8_decoded": (p8_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+    "p10_found": (p10_found, None),
+    "p10_scores": (p10_scores, None),
+    "p10_rates": (p10_rates, None),
     "p9_found": (p9_found, None),
     "p9_removal_spans": (p9_removal_spans, None),
 }
