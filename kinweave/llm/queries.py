@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import abuse, leaks, mojibake, survivor, titles, tokens, visual
+from kinweave.llm import abuse, leaks, mojibake, spellings, survivor, titles, tokens, visual
 from kinweave.plans.workspace import table
 
 
@@ -17,6 +17,10 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_records(table(spark, d, "gedcom_lines"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.variant_pairs(table(spark, d, "persons"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "persons"))
 
@@ -97,6 +101,7 @@ SELECT id AS person_id, field_name, row_id FROM r WHERE k = 1"""
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_restored": (p2_restored, None),
+    "p3_found": (p3_found, None),
     "p4_found": (p4_found, _P4),
     "p4_truth": (p4_truth, None),
     "p4_sources": (p4_sources, None),
