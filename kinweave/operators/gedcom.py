@@ -34,7 +34,7 @@ def decode(content):
 def parse_lines(files: DataFrame) -> DataFrame:
     """files (file_id, text) -> (file_id, line_no, level, xref, tag, value); lines without a level are dropped."""
     line = F.rtrim(F.regexp_replace(F.col("raw"), r"\r$", ""))
-    pattern = r"^\s*([0-9]{1,2})[ \t]+(?:(@[^@]*@)[ \t]+)?([^ \t]+)(?: (.*))?$"
+    pattern = r"(?s)^\s*([0-9]{1,2})[ \t]+(?:(@[^@]*@)[ \t]+)?([^ \t]+)(?: (.*))?$"
     at = lambda i: F.regexp_extract("line", pattern, i)
     return (
         files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))

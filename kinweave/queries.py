@@ -73,7 +73,7 @@ WITH refs AS (
     UNION ALL SELECT 'occupations', id, 'person_id', 'persons', person_id, ingested_at FROM occupations
     UNION ALL SELECT 'links', id, 'from_end.entity_id', CASE from_end.entity_type WHEN 'person' THEN 'persons' WHEN 'family' THEN 'families' WHEN 'event' THEN 'vital_events' END, from_end.entity_id, ingested_at FROM links
     UNION ALL SELECT 'links', id, 'to_end.entity_id', CASE to_end.entity_type WHEN 'person' THEN 'persons' WHEN 'family' THEN 'families' WHEN 'event' THEN 'vital_events' END, to_end.entity_id, ingested_at FROM links)
-  WHERE target ~ '.*\\S.*' AND target_table IS NOT NULL GROUP BY ALL),
+  WHERE regexp_full_match(target, '(?s).*\\S.*') AND target_table IS NOT NULL GROUP BY ALL),
 targets AS (
   SELECT target_table, lower(regexp_replace(id, '^\\s+|\\s+$', '', 'g')) AS target_id, bool_or(alive) AS alive, min(ingested_at) AS born FROM (
     SELECT 'places' AS target_table, id, deleted_at IS NULL AS alive, ingested_at FROM places
