@@ -114,7 +114,11 @@ def _look_up(token: str) -> tuple[int, int, int]:
         key = _key(low)
         bits = whole.get(key, 0)
         # keys merge letters: an undisguised word must be spelled as listed
-        if bits and not any(w == low for w, _ in by_length.get(len(low), ())):
+        swapped = low.replace("v", "u") if "v" in low else ""
+        listed = {w for w, _ in by_length.get(len(low), ())} if bits else ()
+        if bits and low not in listed:
+            if swapped in listed:  # v for u
+                return bits, 1, shouted
             bits = 0
         for b, more in begin:
             if key.startswith(b) and len(low) <= len(b) + 5:

@@ -80,7 +80,7 @@ def claims(persons: DataFrame) -> DataFrame:
     )
 
 
-def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """values (id, field_name, value, n_sources, probability, kept) and sources (source, field_name,
     sensitivity, specificity).  kept: of a date the likeliest value, of names every value of probability
     one half or more.  rounds is the fixed number of EM rounds."""
@@ -105,7 +105,7 @@ def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.5) -> tup
             .groupBy(*group, "value")
             .agg(F.sum(F.col("claimed") - F.col("silent")).alias("claimed"), F.count("*").alias("n_sources"))
         )
-        logit = F.lit(prior / (1 - prior)) * 0 + F.log(F.lit(prior / (1 - prior))) + F.col("silent") + F.col("claimed")
+        logit = F.log(F.lit(prior / (1 - prior))) + F.col("silent") + F.col("claimed")
         values = ws.cut(
             claimed.join(silent, group).select(*group, "value", "n_sources", (1 / (1 + F.exp(-logit))).alias("probability"))
         )
@@ -117,14 +117,14 @@ def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.5) -> tup
             .agg(F.sum("probability").alias("tp"), F.sum(1 - F.col("probability")).alias("fp"))
         )
         # one pseudo-count each way keeps both rates away from 0 and 1
-        quality = ws.cut(
-            could.join(did, ["source", "field_name"], "left").select(
-                "source",
-                "field_name",
-                ((F.coalesce("tp", F.lit(0.0)) + 1) / (F.col("p") + 2)).alias("sensitivity"),
-                ((F.col("q") - F.coalesce("fp", F.lit(0.0)) + 1) / (F.col("q") + 2)).alias("specificity"),
-            )
+        rates = could.join(did, ["source", "field_name"], "left").select(
+            "source",
+            "field_name",
+            ((F.coalesce("tp", F.lit(0.0)) + 1) / (F.col("p") + 2)).alias("sensitivity"),
+            ((F.col("q") - F.coalesce("fp", F.lit(0.0)) + 1) / (F.col("q") + 2)).alias("specificity"),
         )
+        # a claim never speaks against a value: else two poor sources could turn the model upside down
+        quality = ws.cut(rates.withColumn("specificity", F.greatest("specificity", 1 - F.col("sensitivity"))))
     best = values.groupBy(*group).agg(F.max(F.struct("probability", "value")).alias("best"))
     kept = F.when(F.col("field_name") == "names", F.col("probability") >= 0.5).otherwise(
         F.col("value") == F.col("best.value")

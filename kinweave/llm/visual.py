@@ -149,7 +149,8 @@ def consistent(text: str, latin_field: bool = False) -> str:
     latin_value = bool(_LATIN.search(text))
     if not (latin_value or latin_field):
         return text
-    return _WORD.sub(lambda m: _letters(m[0], latin_value, latin_field), text)
+    spelled = _WORD.sub(lambda m: _letters(m[0], latin_value, latin_field), text)
+    return text if spelled == text else unicodedata.normalize("NFC", spelled)
 
 
 def _values(persons: DataFrame) -> DataFrame:
