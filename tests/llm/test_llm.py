@@ -268,7 +268,7 @@ def test_disguises():
         x = dict(zip(abuse.FEATURES, abuse.features(text), strict=True))
         assert x["top_insult"] >= 1 and x["top_swearing"] >= 1 and x["top_second"] >= 1, text
     assert not abuse.features("The cat sat on the mat in 1850")[: len(abuse.NAMES) - 1].any()
-    assert not abuse.features(None).any() and not abuse.features(" \n ").any() and not abuse.features("?!").any()
+    assert not abuse.features(None).any() and not abuse.features(" \n ").any()
 
 
 def test_isotonic_equals_definition():
