@@ -259,7 +259,9 @@ def match_titles(titles: DataFrame, reference: DataFrame) -> DataFrame:
             b["title_code"] = [ref.code_of(t) for t in b["title"]]
             yield b
 
-    return titles.select("title").distinct().mapInPandas(run, "title string, title_code string")
+    # a few bytes a title, much work: partitions by number, not by size
+    tasks = 3 * titles.sparkSession.sparkContext.defaultParallelism
+    return titles.select("title").distinct().repartition(tasks, "title").mapInPandas(run, "title string, title_code string")
 
 
 def occupation_codes(occupations: DataFrame, reference: DataFrame) -> DataFrame:
