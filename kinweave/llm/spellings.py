@@ -353,7 +353,7 @@ def variant_pairs(persons: DataFrame) -> DataFrame:
         "bundle_id", "bucket", "family", F.xxhash64("bundle_id", "bucket", "k").alias("k")
     )
     near = (
-        keyed.join(keyed.select("k", F.col("family").alias("other"), F.col("bundle_id").alias("b2"), F.col("bucket").alias("y2")), "k")
+        keyed.join(keyed.hint("merge").select("k", F.col("family").alias("other"), F.col("bundle_id").alias("b2"), F.col("bucket").alias("y2")), "k")
         .where("bundle_id = b2 and bucket = y2 and family <= other and abs(length(family) - length(other)) <= 2 and levenshtein(family, other) <= 4")
         .select("bundle_id", "bucket", "family", "other")
         .distinct()
@@ -370,13 +370,14 @@ def variant_pairs(persons: DataFrame) -> DataFrame:
     fields = "bundle_id string, id string, birth string, year int, sex string, given array<string>, family string, bucket int"
     people = placed.select("bundle_id", "id", "birth", "year", "sex", "given", "family", "bucket").mapInPandas(letters, fields + ", letter string")
     people = ws.cut(people)
-    left = people.join(near, ["bundle_id", "bucket", "family"])
+    # written tables are compressed, so their size says little of what a broadcast would hold: sort and merge
+    left = people.join(near.hint("merge"), ["bundle_id", "bucket", "family"])
     right = people.select(
         "bundle_id", "bucket", "letter", F.col("family").alias("other"), F.col("id").alias("id2"), F.col("birth").alias("birth2"),
         F.col("year").alias("year2"), F.col("sex").alias("sex2"), F.col("given").alias("given2"),
     )
     met = (
-        left.join(right, ["bundle_id", "bucket", "letter", "other"])
+        left.join(right.hint("merge"), ["bundle_id", "bucket", "letter", "other"])
         .where("id <> id2 and (sex is null or sex2 is null or sex = sex2) and bucket = greatest(year, year2) + if(year = year2, 1, 0)")
         .where("family <> other or id < id2")
         .select("id", "birth", "given", "family", "id2", "birth2", "given2", F.col("other").alias("family2"))
@@ -399,7 +400,7 @@ def variant_pairs(persons: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("person_id_b").alias("person_id_a"), F.col("person_id_a").alias("person_id_b")))
     via = both.select(F.col("person_id_a").alias("middle"), F.col("person_id_b").alias("id"))
     hops = (
-        via.join(via.withColumnRenamed("id", "id2"), "middle")
+        via.join(via.withColumnRenamed("id", "id2").hint("merge"), "middle")
         .where("id < id2")
         .select("id", "id2")
         .distinct()
@@ -410,8 +411,8 @@ def variant_pairs(persons: DataFrame) -> DataFrame:
         F.col("given").alias("given2"), F.col("family").alias("family2"),
     )
     further = (
-        hops.join(known, "id")
-        .join(other, "id2")
+        hops.join(known.hint("merge"), "id")
+        .join(other.hint("merge"), "id2")
         .where("bundle_id = bundle2 and (sex is null or sex2 is null or sex = sex2)")
         .select("id", "birth", "given", "family", "id2", "birth2", "given2", "family2")
     )
