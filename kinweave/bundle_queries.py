@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import dates, names
 from kinweave.operators import bundle, crud, dedup, gedcom, hierarchy, refs, typed, validate
 from kinweave.operators.bundle import COLLECTIONS, Bundles
-from kinweave.plans.workspace import table
+from kinweave.plans.workspace import Workspace, table
 from kinweave.sources import bundles as files
 from kinweave.sources.tables import entities_from_tables
 from kinweave.streaming import ingest
@@ -22,12 +22,17 @@ def _entities(spark: SparkSession, d: str, *collections: str) -> DataFrame:
     return out.where(F.col("collection").isin(*collections)) if collections else out
 
 
-def _bundles(spark: SparkSession, d: str) -> Bundles:
-    entities = entities_from_tables(spark, d)
+def _bundles(spark: SparkSession, d: str, entities: DataFrame | None = None) -> Bundles:
+    entities = entities if entities is not None else entities_from_tables(spark, d)
     manifest = F.lit('{"axgf":"1.0","created_at":"2026-01-01","updated_at":"2026-01-01","stats":{"persons":0}}')
     return Bundles(entities, entities.select("bundle_id").distinct().select("bundle_id", manifest.alias("body")))
 
 
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """All entities as a written table, for operators whose plans read them many times."""
+    return Workspace(spark, "bundles").cut(_entities(spark, d))
+
+
 def inspect_stats(spark: SparkSession, d: str) -> DataFrame:
     return bundle.inspect(_bundles(spark, d)).drop("manifest")
 
@@ -70,7 +75,16 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("collection", F.regexp_replace("path", "/[0-9]+", "/*").alias("path"), "problem").agg(F.count("*").alias("n"))
 
 
+def severity_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.severity_counts(validate.validate(_bundles(spark, d, _written(spark, d))))
+
+
+def diagnostics_by_code_all(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.diagnostics_by_code(validate.validate(_bundles(spark, d, _written(spark, d)))).select("code", "n")
+
+
 def _semantic(spark: SparkSession, d: str) -> DataFrame:
+    """The diagnostics that the SQL says too: structure and loops of several persons are left out."""
     return validate.validate(_bundles(spark, d)).where("code <> 'SCHEMA_VALIDATION_FAILED' and seq not like '1 %'")
 
 
@@ -372,6 +386,8 @@ QUERIES = {
     "cycle_members": (cycle_members, _CYCLES),
     "loop_edges": (loop_edges, None),
     "schema_violations": (schema_violations, None),
+    "severity_counts_all": (severity_counts_all, None),
+    "diagnostics_by_code_all": (diagnostics_by_code_all, None),
     "severity_counts": (severity_counts, f"SELECT bundle_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, CAST(0 AS BIGINT) AS infos, count(*) AS total FROM ({_CODES}) GROUP BY bundle_id"),
     "diagnostics_by_code": (diagnostics_by_code, f"SELECT code, count(*) AS n FROM ({_CODES}) GROUP BY code"),
     "person_dedup_groups": (person_dedup_groups, f"WITH {_LATEST}, {_FAMS}, {_GROUPS} SELECT bundle_id, name, birth_year, death_year, keeper, array_to_string(ids, ',') AS ids FROM groups"),

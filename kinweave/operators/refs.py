@@ -58,8 +58,8 @@ def dangling(entities: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     return (
         refs.where(is_uuid_like(F.col("target")))
         .select("bundle_id", "collection", "id", "key", "target")
-        .distinct()
         .join(known, ["bundle_id", "target"], "left_anti")
+        .distinct()
     )
 
 
