@@ -5,8 +5,8 @@ every distinct word with characters beyond ASCII each candidate chain (encode in
 with, decode in the one it was written in; UTF-8 twice over; UTF-8 with bytes lost) proposes an original; the
 likeliest is accepted if it beats the word as it stands by a margin.  Training is in two rounds: words that
 the first round restores are left out of the counts of the second, so the model is of clean text.  The margin
-is validated on a bounded sample of clean words, each judged without its own occurrences: the words must
-stay, their forms garbled by every chain must come back.
+is validated on all clean words, each judged without its own occurrences: the words must stay, all their forms
+garbled by every chain must come back.
 
 Scale: lines meet their record within blocks of line numbers of a file, so a file of any share of the rows is
 spread; the carry between blocks is one row a block.  Words are judged once each, wherever they occur.  The
@@ -34,7 +34,7 @@ from kinweave.plans.workspace import Workspace
 BLOCK = 4096  # line numbers in a block
 ALPHABET = 400
 ROUGH = 2.0  # the first round's margin: it only keeps words out of the counts
-VALIDATION_WORDS = 1000  # bound of the held-out sample
+MARGINS = tuple(1.5 + 0.25 * k for k in range(35))  # what the validation chooses from
 CONTINUATIONS = ("CONC", "CONT")
 
 # fixed values: the encodings that genealogy files were written or read in
@@ -187,19 +187,24 @@ def candidates(word: str, model: Model | None = None) -> set[str]:
     return {c for c in found if not _c1(c)}
 
 
-def garble(word: str) -> set[str]:
-    """Every garbled form of a word, for validation."""
-    out = set()
+def garbled_by(word: str) -> dict[str, tuple[str, str]]:
+    """Every garbled form of a word, for validation, with a chain (written, read) that makes it."""
+    out: dict[str, tuple[str, str]] = {}
     for written in ("utf-8", *ENCODINGS):
         raw = _encode(word, written)
         if raw is None:
             continue
         for read in ENCODINGS:
             if read != written and (got := _decode(raw, read)) is not None and got != word and not _c1(got):
-                out.add(got)
+                out.setdefault(got, (written, read))
     return out
 
 
+def garble(word: str) -> set[str]:
+    """Every garbled form of a word."""
+    return set(garbled_by(word))
+
+
 class Model:
     """Interpolated character trigrams."""
 
@@ -309,19 +314,44 @@ def _judge(model: Model):
     return run
 
 
-def validated_margin(clean: list[tuple[str, int]], model: Model) -> float:
-    """The margin with the fewest errors: clean words, each judged without its own occurrences, are to stay,
-    their garbled forms to go.  Clean words weigh as often as they occur, garbled forms a hundredth of that."""
-    good: list[tuple[float, float]] = []
-    bad: list[tuple[float, float]] = []
-    for i, (word, n) in enumerate(clean):
-        good.append((model.best(word, n)[1], float(n)))
-        forms = sorted(garble(word))
-        for form in forms[i % 7 :: 7]:
-            bad.append((model.best(form)[1], n / 100))
-    options = [1.5 + 0.25 * k for k in range(35)]
-    wrong = lambda m: sum(w for g, w in good if g > m) + sum(w for g, w in bad if g <= m)
-    return min(options, key=lambda m: (wrong(m), m)) if good else 3.0
+def _below(gain: float) -> int:
+    """The number of margins that a gain is beyond."""
+    return sum(gain > m for m in MARGINS)
+
+
+def _tally(model: Model):
+    """Of (word, n): (garbled, below, weight), the occurrences of clean words and of garbled forms by the
+    number of margins that their gain is beyond."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for word, n in zip(b["word"], b["n"], strict=True):
+                seen[False, _below(model.best(word, n)[1])] += n
+                whole = model.score(word)
+                for form, (written, read) in garbled_by(word).items():
+                    # the word itself is a candidate of most forms; beyond the last margin no other matters
+                    raw = _encode(form, read)
+                    if raw is not None and whole - model.score(form) > MARGINS[-1] and _decode(raw, written) == word:
+                        seen[True, len(MARGINS)] += n
+                    else:
+                        seen[True, _below(model.best(form)[1])] += n
+            rows = [(g, k, n) for (g, k), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["garbled", "below", "weight"])
+
+    return run
+
+
+def validated_margin(clean: DataFrame, model: Model) -> float:
+    """The margin with the fewest errors over all clean words beyond ASCII, ``clean`` (word, n): the words, each
+    judged without its own occurrences, are to stay, all their garbled forms to go.  Clean words weigh as often
+    as they occur, garbled forms a hundredth of that."""
+    tally = clean.mapInPandas(_tally(model), "garbled boolean, below int, weight long")
+    totals = tally.groupBy("garbled", "below").agg(F.sum("weight").alias("weight")).collect()
+    if not totals:
+        return 3.0
+    wrong = [sum(r.weight * (1 if r.garbled else 100) for r in totals if r.garbled == (r.below <= i)) for i in range(len(MARGINS))]
+    return min(zip(wrong, MARGINS, strict=True))[1]
 
 
 def judged_words(ws: Workspace, words: DataFrame) -> DataFrame:
@@ -334,14 +364,9 @@ def judged_words(ws: Workspace, words: DataFrame) -> DataFrame:
     broken = F.col("word").rlike("[\\x7f-\\x9f�]")
     dirty = rough.where(broken | (F.col("gain") > ROUGH)).select("word")
     clean = ws.cut(words.join(dirty, "word", "left_anti").where(~broken))
-    held = (
-        clean.where(F.col("word").rlike(r"[^\x00-\x7f]"))
-        .orderBy(F.xxhash64("word", F.lit(7)), "word")
-        .limit(VALIDATION_WORDS)
-        .collect()
-    )
     model = Model(trigram_counts(clean))
-    margin = validated_margin([(r.word, r.n) for r in held], model)
+    held = clean.where(F.col("word").rlike(r"[^\x00-\x7f]")).repartition(tasks, "word")
+    margin = validated_margin(held, model)
     counted = odd.join(clean.select("word", F.col("n").alias("m")), "word", "left")
     counted = counted.select("word", F.coalesce("m", F.lit(0)).alias("n"))  # words left out were not counted
     judged = counted.repartition(tasks, "word").mapInPandas(_judge(model), "word string, original string, gain double")
