@@ -259,7 +259,10 @@ class _Contraction:
 def lines_of_descent(spark: SparkSession, links: DataFrame) -> DataFrame:
     """person_id, root_id, steps: every founder of every person with the fewest steps to them; root_id is
     'CYCLE' (steps null) for persons who are their own ancestor.  ``links`` has (child, parent)."""
-    state = _Contraction(spark, links)
+    return _descent(_Contraction(spark, links))
+
+
+def _descent(state: _Contraction) -> DataFrame:
     state.contract()
     lines = state.founders().select(F.col("child").alias("person_id"), F.col("root").alias("root_id"), "steps")
     loops = state.cyclic().select(
@@ -275,3 +278,62 @@ def descendants(lines: DataFrame) -> DataFrame:
         .groupBy("root_id")
         .agg(F.count("*").alias("n_descendants"), F.max("steps").alias("max_steps"))
     )
+
+
+def lines_with_paths(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """The lines of descent with path, the persons of each line from the person up to the founder; null for
+    loops.  Of several lines with the fewest steps it is the one by the least parent at every step.
+
+    Each line points at the parent that it goes on with; pointer doubling gathers the persons passed."""
+    ws = Workspace(spark, "paths")
+    state = _Contraction(spark, links)
+    lines = ws.cut(_descent(state))
+    state.ws.clear()
+    real = lines.where("steps is not null")
+    up = F.struct((F.col("steps") + 1).alias("steps"), F.col("parent").alias("at"))
+    further = (
+        links.select("child", "parent").distinct().where("child <> parent")
+        .join(real.withColumnRenamed("person_id", "parent"), "parent")
+        .select(F.col("child").alias("person_id"), "root_id", up.alias("up"))
+    )
+    direct = real.where("steps = 1").select("person_id", "root_id", F.struct("steps", F.col("root_id").alias("at")).alias("up"))
+    pointer = further.unionByName(direct).groupBy("person_id", "root_id").agg(F.min("up")["at"].alias("at"))
+    left, seen = ws.cut_counted(
+        pointer.select("person_id", "root_id", "at", F.array("person_id").alias("path")), open="at <> root_id"
+    )
+    done = [left.where("at = root_id")]
+    while seen["open"]:
+        known = _union([*done, left.where("at <> root_id")]).select(
+            F.col("person_id").alias("at"), "root_id", F.col("at").alias("next"), F.col("path").alias("more")
+        )
+        left, seen = ws.cut_counted(
+            left.where("at <> root_id").join(known, ["at", "root_id"])
+            .select("person_id", "root_id", F.col("next").alias("at"), F.concat("path", "more").alias("path")),
+            open="at <> root_id",
+        )
+        done.append(left.where("at = root_id"))
+    whole = _union(done).select("person_id", "root_id", F.concat("path", F.array("root_id")).alias("path"))
+    whole = whole.select("person_id", "root_id", (F.size("path") - 1).alias("steps"), "path")
+    return whole.unionByName(lines.where("steps is null").withColumn("path", F.lit(None).cast("array<string>")))
+
+
+def all_descendants(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(ancestor_id, person_id, steps): every descendant of every person with the fewest steps between them;
+    who is their own ancestor comes out as their own descendant.
+
+    Distances double: what is up to h steps away goes on from the ancestors exactly h steps away."""
+    ws = Workspace(spark, "descendants")
+    reach, seen = ws.cut_counted(links.select("child", "parent").distinct().withColumn("steps", F.lit(1)), far="steps = 1")
+    h = 1
+    while seen["far"]:
+        up = reach.select(F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more"))
+        longer = reach.where(F.col("steps") == h).join(up, "parent").select(
+            "child", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps")
+        )
+        h *= 2
+        grown, seen = ws.cut_counted(
+            reach.unionByName(longer).groupBy("child", "parent").agg(F.min("steps").alias("steps")), far=f"steps = {h}"
+        )
+        ws.drop(reach)
+        reach = grown
+    return reach.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("person_id"), "steps")

@@ -69,6 +69,11 @@ class Workspace:
         if path:
             self._delete(path)
 
+    def clear(self) -> None:
+        """Deletes all tables of the run; nothing that reads them may be used any more."""
+        self._at.clear()
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

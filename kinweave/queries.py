@@ -12,9 +12,12 @@ from kinweave.plans.workspace import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.parent_links(table(spark, d, "families"), table(spark, d, "vital_events"), table(spark, d, "persons"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    links = hierarchy.parent_links(table(spark, d, "families"), table(spark, d, "vital_events"), table(spark, d, "persons"))
-    return hierarchy.lines_of_descent(spark, links)
+    return hierarchy.lines_of_descent(spark, _links(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +25,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d)
+    return hierarchy.lines_with_paths(spark, _links(spark, d))
+
+
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_descendants(spark, _links(spark, d))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +98,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (p1_found, _P1),
     "p1_lines": (p1_lines, None),
     "p1_descendants": (p1_descendants, f"WITH RECURSIVE {_LINKS}, depth(person, root, steps) AS (SELECT l.child, l.parent, 1 FROM links l SEMI JOIN founders f ON f.root = l.parent UNION SELECT l.child, d.root, d.steps + 1 FROM depth d JOIN links l ON l.parent = d.person WHERE d.steps < 60) SELECT root AS root_id, count(*) AS n_descendants, max(steps) AS max_steps FROM (SELECT person, root, min(steps) AS steps FROM depth GROUP BY ALL) GROUP BY ALL"),
+    "p1_all_descendants": (p1_all_descendants, f"WITH RECURSIVE {_LINKS}, far(person, ancestor, steps) AS (SELECT child, parent, 1 FROM links UNION SELECT f.person, l.parent, f.steps + 1 FROM far f JOIN links l ON l.child = f.ancestor WHERE f.steps < 60) SELECT ancestor AS ancestor_id, person AS person_id, min(steps) AS steps FROM far GROUP BY ALL"),
     "p6_found": (p6_found, _P6),
     "p6_report": (p6_report, f"SELECT table_name, field_name, reason, period, count(*) AS n_references FROM ({_P6}) GROUP BY ALL"),
 }

@@ -1,9 +1,10 @@
+import random
 from collections import Counter
 
 import pytest
 
 from kinweave import bundle_queries
-from kinweave.operators import schema, validate
+from kinweave.operators import hierarchy, schema, validate
 
 NAMES = ("persons", "families", "vital_events", "links", "occupations", "sources", "places")
 
@@ -54,3 +55,36 @@ def test_counts_of_all_diagnostics(spark, folder):
     total = lambda b: sum(n for (_, x), n in want.items() if x == b)
     got = {tuple(r) for r in bundle_queries.severity_counts_all(spark, d).collect()}
     assert got == {(b, errors(b), total(b) - errors(b), 0, total(b)) for b in "bc"}
+
+
+def _climb(edges, person):
+    """{ancestor: fewest steps} by plain walking."""
+    parents, steps, seen, front = {}, 0, {}, {person}
+    for c, p in edges:
+        parents.setdefault(c, set()).add(p)
+    while front:
+        steps += 1
+        front = {p for c in front for p in parents.get(c, ())} - set(seen)
+        seen |= dict.fromkeys(front, steps)
+    return seen
+
+
+def test_paths_and_descendants_of_everyone(spark):
+    rng = random.Random(9)
+    edges = [(f"n{i + 1}", f"n{i}") for i in range(21)] + [(f"n{i + 1}", f"s{i}") for i in range(0, 21, 4)] + [("n9", "n3"), ("self", "self")]
+    for g in range(12):
+        n = rng.randint(2, 9)
+        edges += [(f"g{g}-{rng.randrange(n)}", f"g{g}-{rng.randrange(n)}") for _ in range(rng.randint(1, 2 * n))]
+    links = spark.createDataFrame(edges, "child string, parent string")
+    people = {x for e in edges for x in e}
+    far = {(a, p, n) for p in people for a, n in _climb(edges, p).items()}
+    assert {tuple(r) for r in hierarchy.all_descendants(spark, links).collect()} == far
+    founders = people - {c for c, _ in edges}
+    rows = hierarchy.lines_with_paths(spark, links).collect()
+    assert len(rows) == len({(r.person_id, r.root_id) for r in rows})
+    lines = [r for r in rows if r.root_id != hierarchy.CYCLE]
+    assert {(r.root_id, r.person_id, r.steps) for r in lines} == {x for x in far if x[0] in founders}
+    for r in lines:
+        assert r.path[0] == r.person_id and r.path[-1] == r.root_id and len(r.path) == r.steps + 1
+        assert set(zip(r.path, r.path[1:])) <= set(edges)
+    assert all(r.path is None and r.steps is None for r in rows if r.root_id == hierarchy.CYCLE)
