@@ -38,10 +38,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_names(spark: SparkSession, d: str) -> DataFrame:
-    """Every name display in its consistent form."""
-    return table(spark, d, "persons").select(
-        "row_id", visual.consistent_column(F.col("identity.name.display")).alias("display")
-    )
+    """Every name text in its consistent form."""
+    return visual.consistent_names(table(spark, d, "persons"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -196,6 +196,37 @@ def consistent_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else consistent(v))
 
 
-def consistent_column(c: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def consistent_latin(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else consistent(v, True))
+
+
+def consistent_column(c: Column, latin: bool = False) -> Column:
     """The consistent form of a text column; plain ASCII never leaves the JVM's plan unchanged."""
-    return F.when(c.rlike(r"[^\x20-\x7e]"), consistent_text(c)).otherwise(c)
+    return F.when(c.rlike(r"[^\x20-\x7e]"), (consistent_latin if latin else consistent_text)(c)).otherwise(c)
+
+
+def consistent_names(persons: DataFrame) -> DataFrame:
+    """(row_id, field_name, position, value, normal): every name text of identity in its consistent form.
+
+    display, names, value_latin and reading are the fields of p5_found, the others go by their path, with the
+    number of the entry of identity.names.  position counts from 0 within the list, 0 where there is none."""
+    one = lambda name, latin, at, c: F.struct(name.alias("field_name"), F.lit(latin).alias("latin"), at.cast("int").alias("position"), c.alias("value"))
+    none = F.array().cast("array<struct<field_name:string,latin:boolean,position:int,value:string>>")
+    each = lambda c, make: F.coalesce(F.transform(c, make), none)
+    single = lambda name, latin, c: F.array(one(F.lit(name), latin, F.lit(0), F.col(c)))
+    under_name = lambda prefix, f: lambda x, i: one(F.concat(prefix, F.lit(f)), f == "value_latin", i, x[f])
+    parts = lambda c, prefix: [each(c, under_name(prefix, f)) for f in ("value", "value_latin", "reading")]
+    under = lambda x, i: F.concat(*parts(x["components"], F.concat(F.lit("names["), i.cast("string"), F.lit("]."))))
+    listed = F.concat(
+        single("display", False, "identity.name.display"),
+        single("name.display_latin", True, "identity.name.display_latin"),
+        single("name.reading", False, "identity.name.reading"),
+        each("identity.names", lambda x, i: one(F.lit("names"), False, i, x["display"])),
+        *parts("identity.name.components", F.lit("")),
+        F.flatten(F.coalesce(F.transform("identity.names", under), F.array(none))),
+    )
+    rows = persons.select("row_id", F.explode(listed).alias("v")).select("row_id", "v.*").where("value is not null")
+    value = F.col("value")
+    normal = F.when(F.col("latin"), consistent_column(value, True)).otherwise(consistent_column(value))
+    return rows.select("row_id", "field_name", "position", "value", normal.alias("normal"))

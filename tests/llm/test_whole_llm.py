@@ -2,7 +2,7 @@ from collections import Counter
 
 import pandas as pd
 
-from kinweave.llm import mojibake
+from kinweave.llm import mojibake, queries
 
 WORDS = {"Łódź": 9, "Zürich": 40, "Kraków": 25, "café": 3, "Müller": 12, "żółw": 1, "naïve": 1, "Жуков": 2}
 
@@ -33,3 +33,20 @@ def test_margin_is_validated_on_every_word_and_every_garbled_form(spark):
     clean = spark.createDataFrame(list(WORDS.items()), "word string, n long")
     assert mojibake.validated_margin(clean.repartition(3), model) == min(mojibake.MARGINS, key=lambda m: (wrong(m), m))
     assert mojibake.validated_margin(clean.limit(0), model) == 3.0
+
+
+def test_every_name_field_in_consistent_form(spark, tables, tmp_path):
+    wide, cyr = "Ａdam", "Ѕоѕ"
+    part = {"value": wide, "value_latin": cyr, "reading": wide}
+    persons = [
+        {"row_id": 1, "identity": {"name": {"display": wide, "display_latin": cyr, "reading": wide, "components": [{"value": "x"}, part]}, "names": [{"display": "a"}, {"display": cyr, "components": [part]}]}},
+        {"row_id": 2}, {"row_id": 3, "identity": {"names": [None, {"display": wide}]}},
+    ]
+    tables("persons", persons).write.parquet(f"{tmp_path}/persons.parquet")
+    got = sorted(tuple(r) for r in queries.p5_names(spark, str(tmp_path)).collect())
+    assert got == sorted([
+        (1, "display", 0, wide, "Adam"), (1, "name.display_latin", 0, cyr, "Sos"), (1, "name.reading", 0, wide, "Adam"),
+        (1, "value", 0, "x", "x"), (1, "value", 1, wide, "Adam"), (1, "value_latin", 1, cyr, "Sos"), (1, "reading", 1, wide, "Adam"),
+        (1, "names", 0, "a", "a"), (1, "names", 1, cyr, cyr), (1, "names[1].value", 0, wide, "Adam"),
+        (1, "names[1].value_latin", 0, cyr, "Sos"), (1, "names[1].reading", 0, wide, "Adam"), (3, "names", 1, wide, "Adam"),
+    ])
