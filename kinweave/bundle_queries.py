@@ -146,15 +146,33 @@ def delete_reject(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    left = crud.delete(_entities(spark, d, "persons", "families"), _gone(spark, d, "persons", "persons"), "cascade")[0]
+    left = crud.delete(_written(spark, d), _gone(spark, d, "persons", "persons"), "cascade")[0]
     return typed.families(left).select("bundle_id", "family_id", F.size("children").alias("n_children"), F.size("parents").alias("n_parents"))
 
 
 def delete_orphan(spark: SparkSession, d: str) -> DataFrame:
-    left = crud.delete(_entities(spark, d, "places", "occupations"), _gone(spark, d, "places", "places"), "orphan")[0]
+    left = crud.delete(_written(spark, d), _gone(spark, d, "places", "places"), "orphan")[0]
     return left.where("collection = 'occupations'").select("bundle_id", "id", F.get_json_object("body", "$.place_id").alias("place_id"))
 
 
+def _lost(before: DataFrame, left: DataFrame) -> DataFrame:
+    """(bundle_id, collection, id, key, target, n): the references that entities which stay have lost."""
+    cols = ["bundle_id", "collection", "id", "key", "target"]
+    count = lambda e, sign: refs.references(e).select(*cols, F.lit(sign).alias("sign"))
+    both = count(before.join(left.select(*cols[:3]), cols[:3], "left_semi"), 1).unionByName(count(left, -1))
+    return both.groupBy(*cols).agg(F.sum("sign").alias("n")).where("n > 0")
+
+
+def delete_cascade_changes(spark: SparkSession, d: str) -> DataFrame:
+    e = _written(spark, d)
+    return _lost(e, crud.delete(e, _gone(spark, d, "persons", "persons"), "cascade")[0])
+
+
+def delete_orphan_changes(spark: SparkSession, d: str) -> DataFrame:
+    e = _written(spark, d)
+    return _lost(e, crud.delete(e, _gone(spark, d, "places", "places"), "orphan")[0])
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """Each source once as it is and once, where it is verified, under a new id."""
     e = _entities(spark, d, "sources")
@@ -193,6 +211,13 @@ def bundle_union(spark: SparkSession, d: str) -> DataFrame:
     return both.select("bundle_id", "collection", "id", (F.col("body") == "{}").alias("replaced"))
 
 
+def bundle_union_all(spark: SparkSession, d: str) -> DataFrame:
+    """All collections, about half of each replaced by a newer part."""
+    e = _written(spark, d)
+    both = bundle.union(e, e.where(F.substring("id", -1, 1) < "8").withColumn("body", F.lit("{}")))
+    return both.select("bundle_id", "collection", "id", (F.col("body") == "{}").alias("replaced"))
+
+
 def export_import_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     packed = files.archives(_bundles(spark, d))
 
@@ -376,6 +401,11 @@ UNION ALL SELECT file_id, 'occupations', count(*) FROM subs WHERE top = 'INDI' A
 _CHILDREN = f"WITH {_LATEST}, {_FAMS}, g AS ({_FAMILY_GROUPS}) SELECT DISTINCT g.bundle_id, g.keeper AS family_id, k.child FROM (SELECT bundle_id, keeper, unnest(string_split(ids, ',')) AS family_id FROM g WHERE NOT ambiguous) g JOIN kids k USING (bundle_id, family_id)"
 _DEAD = "gone AS (SELECT bundle_id, id FROM l_{} WHERE deleted_at IS NOT NULL)"
 
+
+def _lost_sql(name: str) -> str:
+    return f"WITH {_LATEST}, {_DEAD.format(name)}, refs AS ({_REFS}) SELECT r.bundle_id, r.collection, r.id, r.key, r.target, count(*) AS n FROM refs r JOIN gone g ON g.bundle_id = r.bundle_id AND g.id = r.target WHERE NOT (r.collection = '{name}' AND EXISTS (SELECT 1 FROM gone x WHERE x.bundle_id = r.bundle_id AND x.id = r.id)) GROUP BY ALL"
+
+
 QUERIES = {
     "inspect_stats": (inspect_stats, _STATS),
     "dangling_refs": (dangling_refs, _DANGLING),
@@ -400,11 +430,14 @@ QUERIES = {
     "delete_reject": (delete_reject, f"WITH {_LATEST}, {_DEAD.format('places')}, refs AS ({_REFS}) SELECT DISTINCT g.bundle_id, 'places' AS collection, g.id, 'DELETE_BLOCKED_BY_REFERENCE' AS code FROM gone g JOIN refs r ON r.bundle_id = g.bundle_id AND r.target = g.id"),
     "delete_cascade": (delete_cascade, f"WITH {_LATEST}, {_DEAD.format('persons')}, {_FAMS}, n AS (SELECT l.bundle_id, l.id AS family_id, (SELECT count(*) FROM kids k WHERE k.bundle_id = l.bundle_id AND k.family_id = l.id AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.bundle_id = k.bundle_id AND g.id = k.child)) AS c, (SELECT count(*) FROM parents p WHERE p.bundle_id = l.bundle_id AND p.family_id = l.id AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.bundle_id = p.bundle_id AND g.id = p.parent)) AS p FROM l_families l) SELECT bundle_id, family_id, CAST(c AS INTEGER) AS n_children, CAST(p AS INTEGER) AS n_parents FROM n"),
     "delete_orphan": (delete_orphan, f"WITH {_LATEST}, {_DEAD.format('places')} SELECT o.bundle_id, o.id, CASE WHEN g.id IS NULL THEN o.place_id END AS place_id FROM l_occupations o LEFT JOIN gone g ON g.bundle_id = o.bundle_id AND g.id = o.place_id"),
+    "delete_cascade_changes": (delete_cascade_changes, _lost_sql("persons")),
+    "delete_orphan_changes": (delete_orphan_changes, _lost_sql("places")),
     "add_guard": (add_guard, f"WITH {_LATEST} SELECT bundle_id, count(*) + count(*) FILTER (WHERE status = 'verified') AS n_entities, count(*) AS n_refused FROM l_sources GROUP BY bundle_id"),
     "update_replace": (update_replace, f"WITH {_LATEST} SELECT bundle_id, id, CASE WHEN status = 'lost' THEN 'verified' ELSE status END AS status FROM l_sources"),
     "extract_year": (extract_year, "SELECT row_id, try_cast(regexp_extract(birth.date.value, '^[0-9]{1,4}') AS INTEGER) AS year FROM persons"),
     "normalized_names": (normalized_names, "SELECT c_custkey, trim(regexp_replace(lower('  ' || replace(c_name, '#', '  # ') || ' ' || upper(c_mktsegment)), '\\s+', ' ', 'g')) AS name FROM customer"),
     "bundle_union": (bundle_union, f"WITH {_LATEST} SELECT bundle_id, 'places' AS collection, id, false AS replaced FROM l_places UNION ALL SELECT bundle_id, 'sources', id, true FROM l_sources"),
+    "bundle_union_all": (bundle_union_all, f"WITH {_LATEST}, ids AS ({_IDS}) SELECT bundle_id, collection, id, right(id, 1) < '8' AS replaced FROM ids"),
     "export_import_roundtrip": (export_import_roundtrip, _STATS),
     "gedcom_tree": (gedcom_tree, f"WITH {_TREE} SELECT file_id, line_no, record, parent_line FROM tree"),
     "gedcom_values": (gedcom_values, _VALUES),

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from datetime import datetime
 
 import pytest
 
@@ -88,3 +89,28 @@ def test_paths_and_descendants_of_everyone(spark):
         assert r.path[0] == r.person_id and r.path[-1] == r.root_id and len(r.path) == r.steps + 1
         assert set(zip(r.path, r.path[1:])) <= set(edges)
     assert all(r.path is None and r.steps is None for r in rows if r.root_id == hierarchy.CYCLE)
+
+
+def test_deleting_and_joining_reach_every_collection(spark, folder):
+    at = datetime(2026, 1, 1)
+    p, x = uid(50), uid(1)
+    d = folder(
+        places=[{"id": p, "deleted_at": at}, {"id": uid(51)}],
+        persons=[{"id": x, "deleted_at": at, "birth": {"place_id": p}}, {"id": uid(2), "birth": {"place_id": p}, "death": {"place_id": p}}],
+        families=[{"id": uid(3), "union_block": {"persons": [{"person_id": x}, {"person_id": uid(2)}], "start_block": {"place_id": p}}, "children": [{"person_id": x}]}],
+        vital_events=[{"id": uid(4), "place_id": p, "participants": [{"entity_id": x}, {"entity_id": uid(2)}]}],
+        links=[{"id": uid(5), "from_end": {"entity_id": x}, "to_end": {"entity_id": uid(2)}}],
+        occupations=[{"id": uid(6), "person_id": x, "place_id": p}, {"id": uid(7), "place_id": uid(51)}],
+        sources=[{"id": uid(8), "place_id": p}],
+    )
+    row = lambda c, n, key, target, times=1: ("b", c, uid(n), key, target, times)
+    assert {tuple(r) for r in bundle_queries.delete_orphan_changes(spark, d).collect()} == {
+        row("persons", 1, "place_id", p), row("persons", 2, "place_id", p, 2), row("families", 3, "place_id", p),
+        row("events", 4, "place_id", p), row("occupations", 6, "place_id", p), row("sources", 8, "place_id", p),
+    }
+    assert {tuple(r) for r in bundle_queries.delete_cascade_changes(spark, d).collect()} == {
+        row("families", 3, "person_id", x, 2), row("events", 4, "entity_id", x), row("links", 5, "entity_id", x), row("occupations", 6, "person_id", x),
+    }
+    both = bundle_queries.bundle_union_all(spark, d).collect()
+    assert Counter(r.collection for r in both) == {"places": 2, "persons": 2, "families": 1, "events": 1, "links": 1, "occupations": 2, "sources": 1}
+    assert all(r.replaced == (r.id[-1] < "8") for r in both)
