@@ -1,11 +1,19 @@
 """Parent-child links to full lines of descent (problem 1).
 
-Method: tree contraction.  A round rakes the persons that have no child left (their links to their parents
-are recorded) and compresses unary chains (persons with one parent left point past each other by pointer
-doubling, gathering the founders met on the way).  The graph shrinks geometrically, so few rounds do for any
-depth.  The recorded contractions are then reversed, latest first, which gives every person their founders
-and the number of steps to them.  What no round can shrink is a core: persons on a loop and their ancestors;
-its closure by path doubling tells who is their own ancestor.
+Method: tree contraction.  A round removes a set of persons and records what it removed:
+  leaves     persons without a child left; their links to their parents are recorded;
+  tops       persons without a parent left; all their founders are known, so their children take these over;
+  chain links  persons of whom no neighbour is removed and whose links are at least as many as the links from
+             their children to their parents that replace them (one parent, or one child, or two of both): this
+             is unary-chain compression, taken to persons with two known parents as well.
+The chain links of a round are those whose hash for that round is least among their neighbours, so a constant
+share of what is left goes in every round and the rounds grow with the logarithm of the persons, on pedigrees
+with both parents known too.  The recorded contractions are then reversed, latest first, which gives every
+person their founders and the number of steps to them.
+
+Loops do not stop it: a loop shrinks to a person who is their own parent, which is marked and taken off.
+Reversed, a person lies on a loop if one of the parents and one of the children that they had when they were
+removed lie on the same one.  Where a round removes too few (a dense knot of loops) the next may add links.
 
 Every step joins on a person id; no component, bundle or line is ever gathered in one task.
 
@@ -17,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,201 +68,144 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+STAY, LEAF, TOP, LINK = range(4)  # what becomes of a person in a round
+
+
+class _Round(NamedTuple):
+    """What one round removed."""
+
+    up: DataFrame  # (child, parent, steps): links of leaves and chain links to the parents they had
+    down: DataFrame  # (child, parent): links of chain links and tops to the children they had
+    roots: DataFrame  # (child, root, steps, kind): founders gathered by removed persons
+    n_links: int  # chain links removed
+
+
 class _Contraction:
-    """The state of one run: live links and the founders gathered so far, all as written tables.
+    """The state of one run, all as written tables.
 
-    links(child, parent, steps); gathered(child, root, steps) holds each founder that a person reaches by
-    links already contracted.
+    live(child, parent, steps) are the links left; gathered(child, root, steps) holds each founder that a
+    person still there reaches by links already contracted.
     """
 
     def __init__(self, spark: SparkSession, links: DataFrame):
         self.ws = Workspace(spark, "hierarchy")
         every = self.ws.cut(links.select("child", "parent").distinct())
-        self.every = every
         self.loops = every.where("child = parent").select(F.col("child").alias("person"))
+        self.marks = [self.loops]
         has_parent = every.select(F.col("child").alias("parent")).distinct()
-        proper = every.where("child <> parent").withColumn("steps", F.lit(1))
         # one pass over the links tells founders from the rest
-        marked = self.ws.cut(
-            proper.join(has_parent.withColumn("inner", F.lit(True)), "parent", "left").select(
-                "child", "parent", "steps", F.col("inner").isNotNull().alias("inner")
-            )
+        marked, seen = self.ws.cut_counted(
+            every.where("child <> parent")
+            .join(has_parent.withColumn("inner", F.lit(True)), "parent", "left")
+            .select("child", "parent", F.lit(1).alias("steps"), F.col("inner").isNotNull().alias("inner")),
+            inner="inner",
         )
-        self.gathered = [marked.where("not inner").select("child", F.col("parent").alias("root"), "steps")]
+        self.gathered = marked.where("not inner").select("child", F.col("parent").alias("root"), "steps")
         self.live = marked.where("inner").select("child", "parent", "steps")
-        self.records: list[DataFrame] = []  # (child, parent, steps), one table a contraction
-        self.splices: list[DataFrame | None] = []
-        self.marks: list[DataFrame] = []
-
-    def rake(self) -> bool:
-        """Sets aside every link of persons that are nobody's parent any more."""
-        parents = self.live.select(F.col("parent").alias("child")).distinct().withColumn("p", F.lit(True))
-        split, seen = self.ws.cut_counted(
-            self.live.join(parents, "child", "left").select(
-                "child", "parent", "steps", F.col("p").isNull().alias("leaf")
-            ),
-            leaves="leaf",
-        )
-        if not seen["leaves"]:
-            return False
-        self.records.append(split.where("leaf").drop("leaf"))
-        self.splices.append(None)
-        self.live = split.where("not leaf").drop("leaf")
-        self.n_live = seen["n"] - seen["leaves"]
-        return True
-
-    def compress(self) -> bool:
-        """Points every person with one parent left past all such persons above, and takes them out."""
-        single = (
-            self.live.groupBy("child")
-            .agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.min("steps").alias("steps"))
-            .where("n = 1")
-        )
-        # open: the parent is such a person too, so the pointer has still to move
-        unary, seen = self.ws.cut_counted(
-            single.join(single.select(F.col("child").alias("parent"), F.lit(True).alias("u")), "parent", "left").select(
-                "child", "parent", "steps", F.col("u").isNotNull().alias("open")
-            ),
-            open="open",
+        self.n_live = seen["inner"]
+        self.rounds: list[_Round] = []
+        self.looping = False
+
+    def contract(self) -> None:
+        slack = 0
+        while self.n_live:
+            gone = self._round(len(self.rounds), slack)
+            slack = 0 if gone > 1 / 16 else max(4, 2 * slack)
+
+    def _round(self, seed: int, slack: int) -> float:
+        """Removes one set of persons; returns the share of those there were."""
+        rank = lambda c: F.xxhash64(c, F.lit(seed))
+        end = lambda v, other, p: F.struct(v.alias("v"), rank(other).alias("near"), F.lit(p).alias("p"), F.lit(1 - p).alias("c"))
+        child, parent = F.col("child"), F.col("parent")
+        few = f"p * c <= p + c + {slack}"
+        kind = F.when(F.col("c") == 0, LEAF).when(F.col("p") == 0, TOP).when(F.expr(few) & (rank(F.col("v")) < F.col("near")), LINK)
+        nodes, seen = self.ws.cut_counted(
+            self.live.select(F.inline(F.array(end(child, parent, 1), end(parent, child, 0))))
+            .groupBy("v")
+            .agg(F.sum("p").alias("p"), F.sum("c").alias("c"), F.min("near").alias("near"))
+            .select("v", kind.otherwise(STAY).alias("kind")),
+            gone=f"kind <> {STAY}",
+            links=f"kind = {LINK}",
         )
-        if not seen["n"]:
-            return False
-        own = _union(self.gathered).join(unary.select("child"), "child", "left_semi")
-        chain = self.ws.cut(own) if seen["open"] else own
-        is_unary = unary.select(F.col("child").alias("parent"), F.lit(True).alias("u"))
-        done, pointer, n_open = [unary.where("not open").drop("open")], unary.where("open").drop("open"), seen["open"]
-        n_done = seen["n"] - n_open
-        while n_open:
-            up = _union([*done, pointer]).select(
-                F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more")
-            )
-            got = pointer.join(chain.withColumnRenamed("child", "parent").withColumnRenamed("steps", "on"), "parent")
-            got = got.select("child", "root", (F.col("steps") + F.col("on")).alias("steps"))
-            chain = self.ws.cut(chain.unionByName(got).groupBy("child", "root").agg(F.min("steps").alias("steps")))
-            moved, seen = self.ws.cut_counted(
-                pointer.join(up, "parent")
-                .select("child", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps"))
-                .join(is_unary, "parent", "left")
-                .select("child", "parent", "steps", F.col("u").isNotNull().alias("open")),
-                open="open",
+        of = lambda end, name: nodes.select(F.col("v").alias(end), F.col("kind").alias(name))
+        known = self.ws.cut(self.live.join(of("child", "ck"), "child").join(of("parent", "pk"), "parent").select("child", "parent", "steps", "ck", "pk"))
+        above = known.where(f"ck = {LINK}")
+        below = known.where(f"pk = {LINK}")
+        rest = known.where(f"ck <> {LINK} and pk <> {LINK}")
+        if seen["links"]:
+            past = below.select("child", "ck", F.col("parent").alias("via"), F.col("steps").alias("on")).join(
+                above.select(F.col("child").alias("via"), "parent", "steps", "pk"), "via"
             )
-            done.append(moved.where("not open").drop("open"))
-            pointer = moved.where("open").drop("open")
-            n_done += seen["n"] - seen["open"]
-            if seen["open"] == n_open:  # they run in a loop: no pointer can leave it
-                break
-            n_open = seen["open"]
-        if not n_done:
-            return False
-        top = _union(done)  # (child, parent = the first person above with several parents left or none)
-        out = top.select("child")
-        if len(done) > 2:
-            top = self.ws.cut(top)
-        merged = chain.join(out, "child", "left_semi")
-        jump = top.select(F.col("child").alias("parent"), F.col("parent").alias("top"), F.col("steps").alias("more"))
-        rest = self.live.join(out, "child", "left_anti")
-        inherit = (
-            rest.join(merged.select(F.col("child").alias("parent"), "root", F.col("steps").alias("on")), "parent")
-            .select("child", "root", (F.col("steps") + F.col("on")).alias("steps"))
+            rest = rest.unionByName(past.select("child", "parent", (F.col("steps") + F.col("on")).alias("steps"), "ck", "pk"))
+            rest = rest.groupBy("child", "parent").agg(F.min("steps").alias("steps"), F.max("ck").alias("ck"), F.max("pk").alias("pk"))
+            rest, counts = self.ws.cut_counted(rest, around="child = parent", stay=f"child <> parent and ck = {STAY} and pk = {STAY}")
+            if counts["around"]:
+                self.looping = True
+                self.marks.append(rest.where("child = parent").select(F.col("child").alias("person")))
+                rest = rest.where("child <> parent")
+            n_live = counts["stay"]
+        else:
+            n_live = rest.where(f"ck = {STAY} and pk = {STAY}").count()
+        tops = rest.where(f"pk = {TOP}")
+        heirs = below.unionByName(tops.where(f"ck <> {LEAF}"))
+        got = heirs.select("child", F.col("parent").alias("via"), F.col("steps").alias("on"), F.col("ck").alias("kind")).join(
+            self.gathered.withColumnRenamed("child", "via"), "via"
         )
-        if len(done) > 1:  # else every chain was one person long, whose founders are gathered already
-            inherit = inherit.unionByName(merged)
-        self.gathered.append(self.ws.cut(inherit.groupBy("child", "root").agg(F.min("steps").alias("steps"))))
-        moved, seen = self.ws.cut_counted(
-            rest.join(jump, "parent", "left")
-            .select(
-                "child",
-                F.coalesce("top", "parent").alias("parent"),
-                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            )
-            .groupBy("child", "parent")
-            .agg(F.min("steps").alias("steps")),
-            around="child = parent",
+        # persons without any link left are done as well
+        own = self.gathered.join(of("child", "kind"), "child", "left").withColumn("kind", F.coalesce("kind", F.lit(TOP)))
+        roots = self.ws.cut(
+            own.unionByName(got.select("child", "root", (F.col("steps") + F.col("on")).alias("steps"), "kind"))
+            .groupBy("child", "root")
+            .agg(F.min("steps").alias("steps"), F.max("kind").alias("kind"))
         )
-        if seen["around"]:
-            self.marks.append(moved.where("child = parent").select(F.col("child").alias("person")))
-        self.live = moved.where("child <> parent")
-        self.n_live = seen["n"] - seen["around"]
-        self.records.append(top)
-        self.splices.append(top)
-        return True
-
-    def contract(self) -> None:
-        """Rakes and compresses in turn until nothing is left or neither finds anything."""
-        self.n_live = 1
-        raked = shortened = True
-        while self.n_live and (raked or shortened):
-            raked = self.rake()
-            # what a compression left is on loops; it is worth another try only when raking is at an end
-            if self.n_live and (shortened or not raked):
-                shortened = self.compress()
-        self.n_core = self.n_live
-
-    def core_closure(self) -> DataFrame:
-        """(child, parent, steps) for every ancestor inside the core, by path doubling."""
-        return self._closure(self.live)
-
-    def _closure(self, links: DataFrame) -> DataFrame:
-        reach, seen = self.ws.cut_counted(links.select("child", "parent", "steps"))
-        n = seen["n"]
-        while n:
-            up = reach.select(F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more"))
-            longer = reach.join(up, "parent").select(
-                "child", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps")
-            )
-            grown, seen = self.ws.cut_counted(
-                reach.unionByName(longer).groupBy("child", "parent").agg(F.min("steps").alias("steps"))
-            )
-            self.ws.drop(reach)
-            if seen["n"] == n:
-                return grown
-            reach, n = grown, seen["n"]
-        return reach
+        up = above.unionByName(rest.where(f"ck = {LEAF}")).select("child", "parent", "steps")
+        down = below.unionByName(tops).select("child", "parent")
+        self.rounds.append(_Round(up, down, roots.where(f"kind <> {STAY}"), seen["links"]))
+        self.gathered = roots.where(f"kind = {STAY}").drop("kind")
+        self.live = rest.where(f"ck = {STAY} and pk = {STAY}").select("child", "parent", "steps")
+        self.n_live = n_live
+        return seen["gone"] / seen["n"]
 
     def founders(self) -> DataFrame:
         """(child, root, steps), reversing the recorded contractions."""
-        base = _union(self.gathered)
-        if self.n_core:
-            self.reach = self.core_closure()
-            above = self.reach.join(
-                base.select(F.col("child").alias("parent"), "root", F.col("steps").alias("on")), "parent"
-            ).select("child", "root", (F.col("steps") + F.col("on")).alias("steps"))
-            base = base.unionByName(self.ws.cut(above.groupBy("child", "root").agg(F.min("steps").alias("steps"))))
-        known = base
-        for record in reversed(self.records):
-            got = record.join(
-                known.select(F.col("child").alias("parent"), "root", F.col("steps").alias("on")), "parent"
-            ).select("child", "root", (F.col("steps") + F.col("on")).alias("steps"))
-            known = known.unionByName(
-                self.ws.cut(got.groupBy("child", "root").agg(F.min("steps").alias("steps")))
-            )
-        return known.groupBy("child", "root").agg(F.min("steps").alias("steps"))
+        done = [self.gathered]
+        for k in reversed(range(len(self.rounds))):
+            r = self.rounds[k]
+            done.append(r.roots.where(f"kind = {TOP}").drop("kind"))
+            further = r.up.select("child", "parent", F.col("steps").alias("on")).join(_union(done).withColumnRenamed("child", "parent"), "parent")
+            own = r.roots.where(f"kind <> {TOP}").drop("kind")
+            got = own.unionByName(further.select("child", "root", (F.col("steps") + F.col("on")).alias("steps")))
+            got = got.groupBy("child", "root").agg(F.min("steps").alias("steps"))
+            done.append(self.ws.cut(got) if k else got)
+        return _union(done)
 
     def cyclic(self) -> DataFrame:
-        """Persons who are their own ancestor."""
-        seeds = [*self.marks]
-        if self.n_core:
-            seeds.append(self.reach.where("child = parent").select(F.col("child").alias("person")))
-        if not seeds:
-            return self.loops.distinct()
-        around = self.ws.cut(_union(seeds).distinct())
-        if around.isEmpty():
-            return self.loops.distinct()
-        # persons taken out of a chain that hangs on a loop may lie on it: look at the original links there
-        for top in reversed([s for s in self.splices if s is not None]):
-            below = top.join(around.select(F.col("person").alias("parent")), "parent", "left_semi")
-            around = around.unionByName(below.select(F.col("child").alias("person")))
-        around = self.ws.cut(around.distinct())
-        inside = (
-            self.every.where("child <> parent")
-            .join(around.select(F.col("person").alias("child")), "child", "left_semi")
-            .join(around.select(F.col("person").alias("parent")), "parent", "left_semi")
-            .select("child", "parent", F.lit(1).alias("steps"))
-        )
-        closed = self._closure(inside)
-        return (
-            closed.where("child = parent").select(F.col("child").alias("person")).unionByName(self.loops).distinct()
-        )
+        """(person): everybody who is their own ancestor."""
+        if not self.looping:
+            return self.loops
+        return self._loops().select("person")
+
+    def _loops(self) -> DataFrame:
+        """(person, loop): persons on a loop, those of one strongly connected part under one name."""
+        mine = F.struct(F.lit(0).alias("known"), F.col("person").alias("name"))
+        lab = self.ws.cut(_union(self.marks).distinct().select("person", mine.alias("loop")))
+        for r in reversed(self.rounds):
+            if not r.n_links:
+                continue
+            name = F.col("loop.name").alias("name")
+            over = r.up.join(lab.select(F.col("person").alias("parent"), name), "parent").select(F.col("child").alias("person"), "name")
+            under = r.down.join(lab.select(F.col("person").alias("child"), name), "child").select(F.col("parent").alias("person"), "name")
+            met = over.join(under.distinct(), ["person", "name"]).select("person", F.struct(F.lit(1).alias("known"), "name").alias("loop"))
+            lab = self.ws.cut(lab.unionByName(met).groupBy("person").agg(F.max("loop").alias("loop")))
+        return lab.select("person", F.col("loop.name").alias("loop"))
+
+    def above_loops(self) -> DataFrame:
+        """(person): everybody on a loop or with a loop below them."""
+        lab = self.ws.cut(self.cyclic().distinct())
+        for r in reversed(self.rounds):
+            met = r.down.join(lab.withColumnRenamed("person", "child"), "child", "left_semi").select(F.col("parent").alias("person"))
+            lab = self.ws.cut(lab.unionByName(met).distinct())
+        return lab
 
 
 def lines_of_descent(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -321,19 +273,19 @@ def all_descendants(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(ancestor_id, person_id, steps): every descendant of every person with the fewest steps between them;
     who is their own ancestor comes out as their own descendant.
 
-    Distances double: what is up to h steps away goes on from the ancestors exactly h steps away."""
+    Distances double: what is up to h steps away goes on from the ancestors exactly h steps away; only pairs
+    that are new are written."""
     ws = Workspace(spark, "descendants")
-    reach, seen = ws.cut_counted(links.select("child", "parent").distinct().withColumn("steps", F.lit(1)), far="steps = 1")
-    h = 1
+    first, seen = ws.cut_counted(links.select("child", "parent").distinct().withColumn("steps", F.lit(1)), far="steps = 1")
+    reach, last, h = [first], first, 1
     while seen["far"]:
-        up = reach.select(F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more"))
-        longer = reach.where(F.col("steps") == h).join(up, "parent").select(
-            "child", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps")
-        )
+        up = _union(reach).select(F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more"))
+        longer = (
+            last.where(F.col("steps") == h).join(up, "parent")
+            .select("child", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps"))
+            .groupBy("child", "parent").agg(F.min("steps").alias("steps"))
+        )
         h *= 2
-        grown, seen = ws.cut_counted(
-            reach.unionByName(longer).groupBy("child", "parent").agg(F.min("steps").alias("steps")), far=f"steps = {h}"
-        )
-        ws.drop(reach)
-        reach = grown
-    return reach.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("person_id"), "steps")
+        last, seen = ws.cut_counted(longer.join(_union(reach), ["child", "parent"], "left_anti"), far=f"steps = {h}")
+        reach.append(last)
+    return _union(reach).select(F.col("parent").alias("ancestor_id"), F.col("child").alias("person_id"), "steps")

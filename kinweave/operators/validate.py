@@ -85,16 +85,15 @@ def _back_edges(children: dict[str, list[str]]) -> list[tuple[int, str, str]]:
 def loop_edges(fams: DataFrame) -> DataFrame:
     """(bundle_id, seq, parent, child): the links that close ancestor loops, self-parents apart.
 
-    Persons without a loop below them are contracted away first, by set operations; what is left of a bundle
-    is the faulty part alone, which one ordered walk decides as any reader of the tree would."""
+    Contraction finds the persons with a loop below them, in few rounds of set operations; that part of a bundle
+    alone goes to one ordered walk, which decides as any reader of the tree would."""
     links = typed.edges(fams).where("parent <> child").select("bundle_id", "parent", "child").distinct()
     key = lambda c: F.concat_ws("\u0001", "bundle_id", c)
     state = _Contraction(fams.sparkSession, links.select(key("child").alias("child"), key("parent").alias("parent")))
-    while state.rake():
-        pass
+    state.contract()
     part = lambda c, i: F.split(c, "\u0001")[i]
     # a person is left if a loop lies below; links of founders to them matter too, as walks begin there
-    left = state.live.select(part("parent", 0).alias("bundle_id"), part("parent", 1).alias("child")).distinct()
+    left = state.above_loops().select(part("person", 0).alias("bundle_id"), part("person", 1).alias("child"))
     core = links.join(left, ["bundle_id", "child"], "left_semi")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

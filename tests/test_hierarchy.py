@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinweave.operators.hierarchy import CYCLE, descendants, lines_of_descent, parent_links
+from kinweave.operators.hierarchy import CYCLE, _Contraction, descendants, lines_of_descent, parent_links
 
 
 def brute(edges):
@@ -77,3 +77,31 @@ def test_descendants(spark):
     df = lines_of_descent(spark, spark.createDataFrame([("b", "a"), ("c", "b")], "child string, parent string"))
     assert [tuple(r) for r in descendants(df).collect()] == [("a", 2, 2)]
     assert df.where(F.col("root_id") == CYCLE).count() == 0
+
+
+def test_rounds_grow_with_the_logarithm(spark):
+    # every generation of two has both of the one before as parents; a chain would shrink faster
+    ladder = [(f"{g}-{i}", f"{g + 1}-{j}") for g in range(80) for i in range(2) for j in range(2)]
+    state = _Contraction(spark, spark.createDataFrame(ladder, "child string, parent string"))
+    state.contract()
+    assert len(state.rounds) < 40
+    got = {tuple(r) for r in state.founders().collect()}
+    assert got == {(f"{g}-{i}", f"80-{j}", 80 - g) for g in range(80) for i in range(2) for j in range(2)}
+    assert state.cyclic().count() == 0
+
+
+def test_a_large_loop_gives_no_pairs(spark):
+    loop = [(f"n{i}", f"n{(i + 1) % 400}") for i in range(400)] + [("n7", "founder"), ("below", "n3")]
+    state = _Contraction(spark, spark.createDataFrame(loop, "child string, parent string"))
+    state.contract()
+    assert len(state.rounds) < 30
+    assert {r.person for r in state.cyclic().collect()} == {f"n{i}" for i in range(400)}
+    assert {r.person for r in state.above_loops().collect()} == {f"n{i}" for i in range(400)}
+    assert state.founders().count() == 401
+    assert max(r.roots.count() for r in state.rounds) <= 401
+
+
+def test_dense_knot_of_loops(spark):
+    rng = random.Random(9)
+    edges = list({(f"k{rng.randrange(30)}", f"k{rng.randrange(30)}") for _ in range(300)}) + [("k1", "top"), ("leaf", "k2")]
+    assert run(spark, edges) == brute(edges)
