@@ -1,13 +1,15 @@
 """References to records that do not exist (problem 6).
 
-Method: the distinct keys of a target table and those that are referred to are put in one order and numbered;
-the numbers of existing keys compress into contiguous runs, broken only by keys that no row has.  Each
-reference is matched as of its number to the run that starts at or before it and is an orphan if it lies
-beyond that run's end.  Each run carries whether all its keys are deleted and each key its earliest arrival,
-so the same pass tells deleted and late targets.
+Method: the distinct keys of the target tables and the distinct keys that are referred to are coded as dense
+integers in one order, each side keeping its own rows.  The sorted codes of the target rows alone are
+compressed into runs of neighbours of one state (alive or all deleted), one row a run, broken by every key
+that no target row has.  Each reference is matched as of its code to the run that starts at or before it: it
+is missing if it lies beyond that run's end, deleted if the run is.  A run also has its latest arrival;
+references older than that are compared with the arrival of their own target row, which is the exact check
+that tells late ones.
 
 Scale: references are reduced to distinct keys before anything is ordered, so a key that a third of all rows
-refer to is one row here.  Keys are numbered within buckets of a hash of the key (the number of buckets grows
+refer to is one row here.  Keys are coded within buckets of a hash of the key (the number of buckets grows
 with the tables), so no window holds a whole table.  Only faulty keys, few by nature, meet the references
 again, by an ordinary join that adaptive execution may broadcast by measured size or split where skewed.
 
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.plans.workspace import Workspace
+
 ENTITY_TABLES = {"person": "persons", "family": "families", "event": "vital_events"}
 
 
@@ -74,50 +78,59 @@ def parent_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def key_runs(keys: DataFrame, buckets: int) -> DataFrame:
-    """Numbers the keys of each bucket and gives each the run it is matched to: adds pos, run_start, run_end.
-
-    keys: (target_table, target_id, is_parent, ...), distinct by the first two.
-    """
-    keys = keys.withColumn("bucket", F.pmod(F.xxhash64("target_table", "target_id"), F.lit(buckets)))
+def coded_keys(refs: DataFrame, parents: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, code, target_table, target_id, alive, born, asked): one row for each distinct key of the targets
+    (asked null) and one for each distinct key referred to (alive null), coded in one order within a bucket."""
+    held = parents.groupBy("target_table", "target_id").agg(F.max("alive").alias("alive"), F.min(F.col("born").cast("timestamp")).alias("born"))
+    sought = refs.groupBy("target_table", "target_id").agg(F.min(F.col("at").cast("timestamp")).alias("asked"))
+    rows = held.withColumn("asked", F.lit(None).cast("timestamp")).unionByName(
+        sought.select("target_table", "target_id", F.lit(None).cast("boolean").alias("alive"), F.lit(None).cast("timestamp").alias("born"), "asked")
+    )
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("target_table", "target_id"), F.lit(buckets)).cast("int"))
     order = Window.partitionBy("bucket").orderBy("target_table", "target_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = keys.withColumn("pos", F.row_number().over(order))
-    # islands: a parent starts a run where the key before it is none
-    starts = F.col("is_parent") & ~F.coalesce(F.lag("is_parent").over(order), F.lit(False))
+    return rows.withColumn("code", F.dense_rank().over(order))
+
+
+def key_runs(keys: DataFrame) -> DataFrame:
+    """(bucket, first, last, alive, latest): the sorted codes of target keys (bucket, code, alive, born),
+    distinct, as runs of neighbours of one state."""
+    order = Window.partitionBy("bucket").orderBy("code")
+    before = F.lag(F.struct("code", "alive")).over(order)
+    goes_on = (before["code"] + 1 == F.col("code")) & (before["alive"] == F.col("alive"))
+    begins = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
     return (
-        numbered.withColumn("run_start", F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(so_far))
-        .withColumn("run_end", F.last(F.when(F.col("is_parent"), F.col("pos")), ignorenulls=True).over(so_far))
+        keys.withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("bucket", "run")
+        .agg(F.min("code").alias("first"), F.max("code").alias("last"), F.first("alive").alias("alive"), F.max("born").alias("latest"))
+        .drop("run")
     )
 
 
+def as_of_runs(sought: DataFrame, runs: DataFrame) -> DataFrame:
+    """sought (bucket, code, asked) with run, the last run that starts at or before the code."""
+    run = F.struct("first", "last", "alive", "latest")
+    none = F.lit(None)
+    starts = runs.select("bucket", F.col("first").alias("code"), F.lit(0).alias("side"), none.cast("timestamp").alias("asked"), run.alias("starts"))
+    both = starts.unionByName(sought.select("bucket", "code", F.lit(1).alias("side"), "asked", none.cast(starts.schema["starts"].dataType).alias("starts")))
+    so_far = Window.partitionBy("bucket").orderBy("code", "side").rowsBetween(Window.unboundedPreceding, 0)
+    matched = both.withColumn("run", F.last("starts", ignorenulls=True).over(so_far))
+    return matched.where("side = 1").select("bucket", "code", "asked", "run")
+
+
 def faulty_references(refs: DataFrame, parents: DataFrame, buckets: int | None = None) -> DataFrame:
     """table_name, record_id, field_name, target_id, reason, period."""
-    buckets = buckets or 16 * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = (
-        refs.select("target_table", "target_id", F.lit(False).alias("is_parent"), F.lit(None).cast("boolean").alias("alive"), F.lit(None).cast("timestamp").alias("born"), F.col("at").cast("timestamp").alias("asked"))
-        .unionByName(parents.select("target_table", "target_id", F.lit(True).alias("is_parent"), "alive", F.col("born").cast("timestamp").alias("born"), F.lit(None).cast("timestamp").alias("asked")))
-        .groupBy("target_table", "target_id")
-        .agg(
-            F.max("is_parent").alias("is_parent"),
-            F.max("alive").alias("alive"),
-            F.min("born").alias("born"),
-            F.min("asked").alias("asked"),
-            F.max(~F.col("is_parent")).alias("is_asked"),
-        )
-    )
-    matched = key_runs(keys, buckets)
-    beyond = F.col("run_end").isNull() | (F.col("pos") > F.col("run_end"))
-    suspects = (
-        matched.where("is_asked")
-        .select(
-            "target_table",
-            "target_id",
-            F.when(beyond, "missing").when(~F.col("alive"), "deleted").when(F.col("asked") < F.col("born"), "late").alias("reason"),
-            "born",
-        )
-        .where("reason is not null")
-    )
+    spark = refs.sparkSession
+    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = Workspace(spark, "orphans").cut(coded_keys(refs, parents, buckets))
+    held = coded.where("alive is not null").select("bucket", "code", "alive", "born")
+    matched = as_of_runs(coded.where("alive is null").select("bucket", "code", "asked"), key_runs(held))
+    beyond = F.col("run").isNull() | (F.col("code") > F.col("run.last"))
+    judged = matched.select("bucket", "code", "asked", F.when(beyond, "missing").when(~F.col("run.alive"), "deleted").when(F.col("asked") < F.col("run.latest"), "late").alias("reason"))
+    none = F.lit(None).cast("timestamp").alias("born")
+    late = judged.where("reason = 'late'").join(held.select("bucket", "code", "born"), ["bucket", "code"]).where("asked < born")
+    faults = judged.where("reason in ('missing', 'deleted')").select("bucket", "code", "reason", none).unionByName(late.select("bucket", "code", "reason", "born"))
+    suspects = faults.join(coded.where("alive is null").select("bucket", "code", "target_table", "target_id"), ["bucket", "code"]).drop("bucket", "code")
     return (
         refs.join(suspects, ["target_table", "target_id"])
         .groupBy("table_name", "record_id", "field_name", "target_table", "target_id", "reason", "born")

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from kinweave.operators.orphans import faulty_references, key_runs, parent_keys, references
+from kinweave.operators.orphans import as_of_runs, faulty_references, key_runs, parent_keys, references
 
 T = [datetime(2025, m, 1) for m in range(1, 13)]
 
@@ -38,9 +38,15 @@ def test_reasons(tables, clash):
     assert faulty_references(references(tables("persons"), tables("occupations"), tables("links")), parent_keys(empty)).count() == 0
 
 
-def test_runs_cover_exactly_the_parents(spark):
-    keys = spark.range(1000).select(F.lit("t").alias("target_table"), F.col("id").cast("string").alias("target_id"), (F.col("id") % 7 != 3).alias("is_parent"))
-    runs = key_runs(keys, 3)
-    beyond = F.col("run_end").isNull() | (F.col("pos") > F.col("run_end"))
-    assert runs.where(beyond == F.col("is_parent")).count() == 0
-    assert runs.where("is_parent and (pos < run_start)").count() == 0
+def test_runs_are_rows_of_neighbouring_parents(spark):
+    codes = spark.range(1, 1001).select((F.col("id") % 3).cast("int").alias("bucket"), (F.col("id") / 3).cast("int").alias("code"))
+    held = codes.where("code % 7 <> 3").select("bucket", "code", (F.col("code") % 11 != 5).alias("alive"), F.lit(T[0]).alias("born"))
+    runs = key_runs(held)
+    n = runs.count()
+    assert 3 * 330 / 7 < n < held.count() / 2  # several keys a run
+    covered = runs.select("bucket", F.explode(F.sequence("first", "last")).alias("code"), "alive")
+    key = ["bucket", "code", "alive"]
+    assert covered.count() == held.count() and covered.exceptAll(held.select(*key)).count() == 0
+    got = as_of_runs(codes.withColumn("asked", F.lit(T[1])), runs)
+    beyond = F.col("run").isNull() | (F.col("code") > F.col("run.last"))
+    assert got.where(beyond != (F.col("code") % 7 == 3)).count() == 0
