@@ -24,3 +24,13 @@ def dump(value) -> str:
     if isinstance(value, list):
         return "[" + ",".join(map(dump, value)) + "]"
     return json.dumps(value, ensure_ascii=False)
+
+
+def pretty(value, indent: str = "") -> str:
+    """As dump, two spaces a level."""
+    deeper = indent + "  "
+    if isinstance(value, dict) and value:
+        return "{\n" + ",\n".join(f"{deeper}{quoted(k)}: {pretty(v, deeper)}" for k, v in value.items()) + f"\n{indent}}}"
+    if isinstance(value, list) and value:
+        return "[\n" + ",\n".join(deeper + pretty(v, deeper) for v in value) + f"\n{indent}]"
+    return dump(value)

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.functions import rawjson
-from kinweave.functions.dates import date_of
 from kinweave.operators import refs, schema
 
 
 def register(spark: SparkSession) -> None:
-    """gedcom_date(text) -> JSON, schema_problems(collection, body) -> array, scrub_refs(body, id, drop) and
+    """schema_problems(collection, body) -> array, scrub_refs(body, id, drop) and
     rewrite_refs(body, old, new) -> body, walk_refs(body) -> array of (key, target, via)."""
     text, items = T.StringType(), T.ArrayType(T.StringType())
     walked = T.ArrayType(T.StructType([T.StructField(n, text) for n in ("key", "target", "via")]))
 
-    @F.pandas_udf(text)
-    def gedcom_date(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda v: json.dumps(date_of(v), ensure_ascii=False))
-
     @F.pandas_udf(items)
     def schema_problems(collection: pd.Series, body: pd.Series) -> pd.Series:
         return pd.Series([[f"{p}: {w}" for p, w in schema.problems(c, b)] for c, b in zip(collection, body, strict=True)])
@@ -45,5 +38,5 @@ def register(spark: SparkSession) -> None:
     def walk_refs(body: pd.Series) -> pd.Series:
         return body.map(lambda b: [{"key": k, "target": t, "via": v} for k, t, v in refs._walk(rawjson.parse(b), None, False)] if b else [])
 
-    for name, f in {"gedcom_date": gedcom_date, "schema_problems": schema_problems, "scrub_refs": scrub_refs, "rewrite_refs": rewrite_refs, "walk_refs": walk_refs}.items():
+    for name, f in {"schema_problems": schema_problems, "scrub_refs": scrub_refs, "rewrite_refs": rewrite_refs, "walk_refs": walk_refs}.items():
         spark.udf.register(name, f)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.functions import rawjson
+
 SUPPORTED_SPEC_VERSIONS = ("1.0",)
 CURRENT_SPEC_VERSION = "1.0"
 # fixed values: the collections in their canonical order and the kind of entity in each
@@ -84,6 +88,32 @@ def stats(entities: DataFrame) -> DataFrame:
     return entities.groupBy("bundle_id").pivot("collection", list(COLLECTIONS)).count().na.fill(0)
 
 
+def refreshed(manifests: DataFrame, entities: DataFrame, at: str | None = None) -> DataFrame:
+    """The manifests with fresh counts and the time of the change; everything else in them stays as written."""
+    at = at or now_utc()
+    counts = stats(entities).select("bundle_id", F.to_json(F.struct(*COLLECTIONS)).alias("counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for body, counted in zip(b["body"], b["counts"], strict=True):
+                head = rawjson.parse(body)
+                head["stats"] = dict.fromkeys(COLLECTIONS, 0) | (json.loads(counted) if counted else {})
+                head["updated_at"] = at
+                out.append(rawjson.dump(head))
+            yield pd.DataFrame({"bundle_id": b["bundle_id"], "body": out})
+
+    return manifests.join(counts, "bundle_id", "left").select("bundle_id", "body", "counts").mapInPandas(run, MANIFEST_SCHEMA)
+
+
+def admitted(bundles: Bundles) -> tuple[Bundles, DataFrame]:
+    """The bundles of a supported version, and one diagnostic for each of the others."""
+    manifests, refused = version_gate(bundles.manifests)
+    ids = manifests.select("bundle_id")
+    kept = lambda df: None if df is None else df.join(ids, "bundle_id", "left_semi")
+    return Bundles(kept(bundles.entities), manifests, kept(bundles.attachments), kept(bundles.extras), bundles.diagnostics), refused
+
+
 def inspect(bundles: Bundles) -> DataFrame:
     """(bundle_id, manifest, counts...): the manifest as it is, the counts fresh."""
     counted = bundles.manifests.select("bundle_id", F.col("body").alias("manifest")).join(
@@ -112,8 +142,12 @@ def severity_counts(diagnostics: DataFrame) -> DataFrame:
 
 
 def diagnostics_by_code(diagnostics: DataFrame) -> DataFrame:
-    """(code, n, first_phase): counts by code; order by n down and code for the listing."""
-    return diagnostics.groupBy("code").agg(F.count("*").alias("n"), F.min("phase").alias("first_phase"))
+    """(code, n, first_phase, first_seq): counts by code; the listing goes by n down and code, the order in which a
+    reader meets the codes by first_phase and first_seq."""
+    first = F.min(F.struct("phase", "seq"))
+    return diagnostics.groupBy("code").agg(F.count("*").alias("n"), first.alias("f")).select(
+        "code", "n", F.col("f.phase").alias("first_phase"), F.col("f.seq").alias("first_seq")
+    )
 
 
 def envelope(diagnostics: DataFrame) -> DataFrame:
@@ -128,6 +162,7 @@ def envelope(diagnostics: DataFrame) -> DataFrame:
 
 
 def latest(table: DataFrame) -> DataFrame:
-    """Of rows of one (bundle_id, id) the one that was ingested last; ties: the greater row as JSON."""
-    order = Window.partitionBy("bundle_id", "id").orderBy(F.desc("ingested_at"), F.desc(F.to_json(F.struct("*"))))
-    return table.where("id is not null and bundle_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Of rows of one (bundle_id, id) the one that was ingested last; ties: the row that is greater by its
+    columns in order.  The choice is an aggregate, so copies go before the exchange."""
+    best = F.max(F.struct("ingested_at", F.struct(*table.columns).alias("row"))).alias("best")
+    return table.where("id is not null and bundle_id is not null").groupBy("bundle_id", "id").agg(best).select("best.row.*")

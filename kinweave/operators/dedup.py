@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import rawjson
 from kinweave.operators import refs, typed
-from kinweave.operators.bundle import Bundles, Result, no_diagnostics
+from kinweave.operators.bundle import Bundles, Result, admitted, refreshed
 from kinweave.plans.workspace import Workspace
 
 KEY = ["bundle_id", "name", "birth_year", "death_year"]
@@ -153,7 +153,9 @@ def rewritten(entities: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def deduplicate(bundles: Bundles) -> Result:
-    """Persons, then families; data has (bundle_id, merged_persons, merged_families, manual_review)."""
+    """Persons, then families; data has (bundle_id, merged_persons, merged_families, manual_review).  Bundles of
+    other versions are refused; the manifests of the others are refreshed."""
+    bundles, refused = admitted(bundles)
     ws = Workspace(bundles.entities.sparkSession, "dedup")
     entities = ws.cut(bundles.entities.select("bundle_id", "collection", "id", "body"))
     groups = person_groups(typed.people(entities))
@@ -185,4 +187,4 @@ def deduplicate(bundles: Bundles) -> Result:
             F.concat(F.lit("families/"), "keeper").alias("entity_ref"),
         )
     )
-    return Result(Bundles(final, bundles.manifests, bundles.attachments, bundles.extras), no_diagnostics(final.sparkSession).unionByName(notes), data.na.fill(0))
+    return Result(Bundles(final, refreshed(bundles.manifests, final), bundles.attachments, bundles.extras), refused.unionByName(notes), data.na.fill(0))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import rawjson
-from kinweave.functions.dates import date_of
+from kinweave.functions.dates import date_document
 from kinweave.functions.ids import uuid_of
 from kinweave.functions.names import MIME, OTHER_MIME, components_of, document_type_of
-from kinweave.operators.bundle import ENTITY_SCHEMA
+from kinweave.operators.bundle import CURRENT_SPEC_VERSION, ENTITY_SCHEMA, Bundles, now_utc, refreshed
 from kinweave.plans.blocks import last_flagged
 
 CONTINUATIONS = ("CONC", "CONT")
@@ -32,21 +33,27 @@ def decode(content):
 
 
 def parse_lines(files: DataFrame) -> DataFrame:
-    """files (file_id, text) -> (file_id, line_no, level, xref, tag, value); lines without a level are dropped."""
-    line = F.rtrim(F.regexp_replace(F.col("raw"), r"\r$", ""))
-    pattern = r"(?s)^\s*([0-9]{1,2})[ \t]+(?:(@[^@]*@)[ \t]+)?([^ \t]+)(?: (.*))?$"
-    at = lambda i: F.regexp_extract("line", pattern, i)
+    """files (file_id, text) -> (file_id, line_no, level, xref, tag, value).  A line is a number, one space and the
+    rest; an xref counts at level 0 only.  Lines that do not begin with a number of 32 bits are dropped."""
+    line = F.regexp_replace("raw", r"(?U)\s+$", "")
+    level = F.regexp_extract("line", r"^\+?([0-9]+) ", 1).try_cast("long")
+    rest = F.regexp_replace("line", r"^\+?[0-9]+ ", "")
+    xref = F.when(F.col("level") == 0, F.nullif(F.regexp_extract("rest", r"^(@[^@]*@)", 1), F.lit("")))
+    after = F.when(F.col("xref").isNull(), F.col("rest")).otherwise(F.regexp_replace("rest", r"(?U)^@[^@]*@\s*", ""))
     return (
         files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select("file_id", (F.col("pos") + 1).cast("long").alias("line_no"), line.alias("line"))
-        .where(F.col("line").rlike(pattern))
+        .select("file_id", "line_no", level.alias("level"), rest.alias("rest"))
+        .where("level < 4294967296")
+        .select("file_id", "line_no", "level", "rest", xref.alias("xref"))
+        .select("file_id", "line_no", "level", "xref", after.alias("after"))
         .select(
             "file_id",
             "line_no",
-            at(1).cast("int").alias("level"),
-            F.when((at(1) == "0") & (at(2) != ""), at(2)).alias("xref"),
-            at(3).alias("tag"),
-            at(4).alias("value"),
+            F.least("level", F.lit(2147483647)).cast("int").alias("level"),  # a level so deep hangs on nothing
+            "xref",
+            F.regexp_extract("after", "(?s)^([^ ]*)", 1).alias("tag"),
+            F.regexp_extract("after", "(?s)^[^ ]* (.*)$", 1).alias("value"),
         )
     )
 
@@ -66,27 +73,30 @@ def once(lines: DataFrame) -> DataFrame:
 
 def tree(lines: DataFrame) -> DataFrame:
     """Adds record (the level-0 line of the record) and parent_line; lines whose chain of levels is broken and
-    continuation lines are left out."""
+    continuation lines are left out.
+
+    One ordered pass over the lines of a record keeps the line open at each level, so depth costs nothing."""
     nodes = lines.where(F.col("level").isNotNull() & ~F.coalesce(F.col("tag"), F.lit("")).isin(*CONTINUATIONS))
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
     placed = last_flagged(nodes, "file_id", "line_no", F.col("level") == 0, "record").where("record is not null")
-    before = Window.partitionBy("file_id", "record").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    for k in range(deepest):
-        placed = placed.withColumn(f"l{k}", F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(before))
-    parent, chained = F.lit(None).cast("long"), F.col("level") == 0
-    for level in range(1, deepest + 1):
-        ok = F.col("level") == level
-        for k in range(level):
-            ok = ok & F.col(f"l{k}").isNotNull()
-            if k:
-                ok = ok & (F.col(f"l{k}") > F.col(f"l{k - 1}"))
-        chained = chained | ok
-        parent = F.when(ok, F.col(f"l{level - 1}")).otherwise(parent)
-    return (
-        placed.withColumn("parent_line", parent)
-        .where(chained)
-        .select("file_id", "record", "line_no", "parent_line", "level", "xref", "tag", "value")
-    )
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, path = None, []
+        for b in batches:
+            parents, kept = [], []
+            for file, record, line, level in b[["file_id", "record", "line_no", "level"]].itertuples(index=False, name=None):
+                if (file, record) != key:
+                    key, path = (file, record), []
+                kept.append(level <= len(path))
+                parents.append(path[level - 1] if 0 < level <= len(path) else None)
+                if kept[-1]:
+                    del path[level:]
+                    path.append(line)
+            b["parent_line"] = pd.array(parents, dtype="Int64")
+            yield b[kept]
+
+    kept = "file_id string, record long, line_no long, parent_line long, level int, xref string, tag string, value string"
+    ordered = placed.select("file_id", "record", "line_no", F.lit(None).cast("long").alias("parent_line"), "level", "xref", "tag", "value")
+    return ordered.repartition("file_id", "record").sortWithinPartitions("file_id", "record", "line_no").mapInPandas(walk, kept)
 
 
 def values(lines: DataFrame) -> DataFrame:
@@ -110,10 +120,10 @@ def values(lines: DataFrame) -> DataFrame:
 
 
 class _Node:
-    __slots__ = ("xref", "tag", "value", "children")
+    __slots__ = ("xref", "tag", "value", "date", "children")
 
-    def __init__(self, xref, tag, value):
-        self.xref, self.tag, self.value, self.children = xref, tag or "", value or "", []
+    def __init__(self, xref, tag, value, date):
+        self.xref, self.tag, self.value, self.date, self.children = xref, tag or "", value or "", date, []
 
     def all(self, *tags):
         return [c for c in self.children if c.tag in tags]
@@ -124,15 +134,11 @@ class _Node:
 
 def _build(lines) -> _Node | None:
     path: list[_Node] = []
-    for level, xref, tag, value in lines:
-        if tag in CONTINUATIONS:
-            if path:
-                path[-1].value += ("\n" if tag == "CONT" else "") + (value or "")
-            continue
+    for level, xref, tag, value, date in lines:
         if level is None or level > len(path):
             continue
         del path[level:]
-        node = _Node(xref, tag, value)
+        node = _Node(xref, tag, value, json.loads(date) if date else None)
         if path:
             path[-1].children.append(node)
         path.append(node)
@@ -167,7 +173,7 @@ class _Converter:
 
     def block(self, node: _Node) -> dict:
         date, place = node.one("DATE"), self.place(node.one("PLAC"))
-        out = {} if date is None else {"date": date_of(date.value)}
+        out = {} if date is None else {"date": date.date}
         if place:
             out["place_id"] = place
         return out | {"confidence": self.confidence}
@@ -224,7 +230,7 @@ class _Converter:
             date = o.one("DATE")
             self.put(
                 "occupations", "occupation", uuid_of(self.file, r.xref, "OCCU", str(k)), person_id=eid, title=title, confidence=self.confidence,
-                valid_from=None if date is None else {"date": date_of(date.value)}, place_id=self.place(o.one("PLAC")),
+                valid_from=None if date is None else {"date": date.date}, place_id=self.place(o.one("PLAC")),
             )
         self.put("persons", "person", eid, identity=identity, **vitals, notes=self.note_text(r), documents=linked or None)
 
@@ -272,21 +278,32 @@ class _Converter:
                 self.put("sources", "source", self.uuid(r.xref), title=title.value if title else "Untitled source", source_type="other", reliability="unknown", confidence=self.confidence)
 
 
+def _joined(lines: DataFrame) -> DataFrame:
+    """(file_id, record, line_no, level, xref, tag, value, date): the lines of every record with their CONC and CONT
+    lines joined to them; date is the document of a DATE line."""
+    tag = F.coalesce("tag", F.lit(""))
+    placed = last_flagged(once(lines), "file_id", "line_no", F.col("level") == 0, "record").where("record is not null")
+    placed = last_flagged(placed, "file_id", "line_no", ~tag.isin(*CONTINUATIONS), "head").where("head is not null")
+    part = F.struct("line_no", "tag", F.coalesce("value", F.lit("")).alias("value"))
+    at_head = lambda c: F.max(F.when(F.col("line_no") == F.col("head"), F.col(c))).alias(c)
+    text = F.aggregate("parts", F.lit(""), lambda acc, x: F.concat(acc, F.when(x["tag"] == "CONT", "\n").otherwise(""), x["value"]))
+    # records are gathered next: both aggregations share one exchange
+    whole = placed.repartition("file_id", "record").groupBy("file_id", "record", "head").agg(at_head("level"), at_head("xref"), at_head("tag"), F.sort_array(F.collect_list(part)).alias("parts"))
+    whole = whole.select("file_id", "record", F.col("head").alias("line_no"), "level", "xref", "tag", text.alias("value"))
+    return whole.withColumn("date", F.when(F.col("tag") == "DATE", date_document("value")))
+
+
 def convert(lines: DataFrame, confidence: float = 0.8, place_lang: str = "en") -> tuple[DataFrame, DataFrame]:
     """(entities, diagnostics (bundle_id, code, severity, message)) of the files; a file is a bundle.
 
     Records are converted where they are gathered; places are named by their text, so the same place of two
     records is the same entity and is kept once."""
-    placed = last_flagged(once(lines), "file_id", "line_no", F.col("level") == 0, "record").where("record is not null")
-    line = F.struct("line_no", "level", "xref", "tag", "value")
-    records = placed.groupBy("file_id", "record").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    line = F.struct("line_no", "level", "xref", "tag", "value", "date")
+    records = _joined(lines).groupBy("file_id", "record").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     head = F.col("lines")[0]
     # the bodies of shared notes, for the records that point at them
     is_note = (head["tag"] == "NOTE") & head["xref"].isNotNull()
-    body = F.aggregate(
-        F.filter("lines", lambda x: x["level"].isNotNull()), F.lit(""),
-        lambda acc, x: F.concat(acc, F.when(x["tag"] == "CONT", "\n").otherwise(""), F.when((x["level"] == 0) | x["tag"].isin(*CONTINUATIONS), F.coalesce(x["value"], F.lit(""))).otherwise("")),
-    )
+    body = head["value"]
     notes = records.where(is_note).select("file_id", head["xref"].alias("xref"), body.alias("note"))
     wanted = records.select("file_id", "record", F.explode(F.filter("lines", lambda x: (x["tag"] == "NOTE") & x["value"].rlike("^\\s*@.*@\\s*$"))).alias("n"))
     given = (
@@ -301,7 +318,7 @@ def convert(lines: DataFrame, confidence: float = 0.8, place_lang: str = "en") -
             rows = []
             for file, lines_, notes_ in zip(b["file_id"], b["lines"], b["notes"], strict=True):
                 c = _Converter(file, confidence, place_lang, {x["xref"]: x["note"] for x in notes_} if notes_ is not None else {})
-                root = _build((x["level"], x["xref"], x["tag"], x["value"]) for x in lines_)
+                root = _build((x["level"], x["xref"], x["tag"], x["value"], x["date"]) for x in lines_)
                 if root is not None:
                     c.record(root)
                 rows += [(file, col, eid, rawjson.dump(d), None) for col, eid, d in c.entities]
@@ -314,3 +331,13 @@ def convert(lines: DataFrame, confidence: float = 0.8, place_lang: str = "en") -
         "bundle_id", F.lit("GEDCOM_UNRECOGNIZED_TAG").alias("code"), F.lit("warning").alias("severity"), F.col("skipped").alias("message")
     )
     return entities, diagnostics
+
+
+def converted(lines: DataFrame, confidence: float = 0.8, place_lang: str = "en") -> Bundles:
+    """The files as whole bundles, with a manifest each that counts the entities and names the source."""
+    entities, diagnostics = convert(lines, confidence, place_lang)
+    at = now_utc()
+    fresh = {"axgf": CURRENT_SPEC_VERSION, "created_at": at, "updated_at": at, "stats": {}, "generator": {"name": "kinweave"}, "compatibility": {"gedcom_source": "5.5.1"}}
+    files = lines.where("file_id is not null").select(F.col("file_id").alias("bundle_id")).distinct()
+    manifests = refreshed(files.withColumn("body", F.lit(json.dumps(fresh))), entities, at)
+    return Bundles(entities, manifests, diagnostics=diagnostics)

@@ -124,6 +124,19 @@ def structural(entities: DataFrame) -> DataFrame:
     )
 
 
+def broken_rules(entities: DataFrame, phase: int = 1) -> DataFrame:
+    """The structural findings as diagnostics."""
+    own = F.concat_ws("/", "collection", "id")
+    seq = F.concat_ws(" ", "collection", "id", "path")
+    return _finding(structural(entities), phase, "SCHEMA_VALIDATION_FAILED", "warning", F.concat_ws(": ", "collection", "path", "problem"), own, seq)
+
+
+def broken_manifests(manifests: DataFrame) -> DataFrame:
+    """The structural findings of manifests; they have no entity and come first."""
+    heads = manifests.select("bundle_id", F.lit("manifest").alias("collection"), F.lit("").alias("id"), "body")
+    return _finding(structural(heads), 1, "SCHEMA_VALIDATION_FAILED", "warning", F.concat_ws(": ", F.lit("manifest"), "path", "problem"), F.lit(None).cast("string"), F.concat(F.lit(" "), F.col("path")))
+
+
 def validate(bundles: Bundles) -> DataFrame:
     """All diagnostics of all bundles; refused bundles have their one."""
     accepted, refused = version_gate(bundles.manifests)
@@ -134,7 +147,8 @@ def validate(bundles: Bundles) -> DataFrame:
     text = lambda s: F.lit(s)
     parts = [
         refused,
-        _finding(structural(entities), 1, "SCHEMA_VALIDATION_FAILED", "warning", F.concat_ws(": ", "collection", "path", "problem"), own, F.concat_ws(" ", "collection", "id", "path")),
+        broken_manifests(accepted),
+        broken_rules(entities),
         _finding(refs.dangling(entities), 2, "DANGLING_REFERENCE", "warning", F.concat_ws(" ", "key", "target"), own, F.concat_ws(" ", "collection", "id", "key", "target")),
         _finding(self_parents(fams), 3, "CYCLE_DETECTED", "error", F.concat(text("own parent in "), "family_id"), ref("persons", F.col("person_id")), F.concat(text("0 "), "family_id")),
         _finding(loop_edges(fams), 3, "CYCLE_DETECTED", "error", F.concat(text("loop through "), "parent"), ref("persons", F.col("child")), F.format_string("1 %09d", "seq")),

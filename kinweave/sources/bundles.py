@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import rawjson
 from kinweave.operators import gedcom
 from kinweave.operators.bundle import COLLECTIONS, DIAGNOSTIC_SCHEMA, Bundles, now_utc, stats, version_gate
+from kinweave.plans.workspace import Workspace
 
 _RAW = "bundle_id string, part string, collection string, id string, body string, content binary"
 _FOLDERS = [c for c in COLLECTIONS if c != "documents"]
@@ -59,18 +60,24 @@ def _flat(raw: bytes) -> Iterator[tuple]:
             yield "extra", None, key, rawjson.dump(value), None
 
 
+def _relative(root: str):
+    """The path of a file below the folder that was read; of a file that was named itself, its name."""
+    inside = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    at = F.instr("path", inside)
+    return F.when(at > 0, F.substring("path", at + len(inside), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
+
+
 def read_bundles(spark: SparkSession, path: str) -> Bundles:
-    """Every file below path is a bundle, named by its file name; archives by their ending, else flat JSON.
+    """Every file below path is a bundle, named by its path from there; archives by their ending, else flat JSON.
     A file that cannot be read is refused whole, with one diagnostic."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_relative(path).alias("path"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, content in zip(b["path"], b["content"], strict=True):
-                name = file.rsplit("/", 1)[-1]
-                bundle = name.rsplit(".", 1)[0]
+                bundle = file.rsplit(".", 1)[0]
                 try:
-                    rows = list((_archive if name.lower().endswith(".axgf") else _flat)(content))
+                    rows = list((_archive if file.lower().endswith(".axgf") else _flat)(content))
                 except zipfile.BadZipFile as e:
                     rows = [("ZIP_READ_ERROR", None, None, str(e), None)]
                 except (ValueError, UnicodeDecodeError) as e:
@@ -79,7 +86,7 @@ def read_bundles(spark: SparkSession, path: str) -> Bundles:
                     rows = [("INVALID_BUNDLE_STRUCTURE", None, None, str(e), None)]
                 yield pd.DataFrame([(bundle, *r) for r in rows], columns=["bundle_id", "part", "collection", "id", "body", "content"])
 
-    raw = files.mapInPandas(run, _RAW)
+    raw = Workspace(spark, "bundles").cut(files.mapInPandas(run, _RAW))  # every file is unpacked once
     manifests, refused = version_gate(raw.where("part = 'manifest'").select("bundle_id", "body"))
     accepted = manifests.select("bundle_id")
     unread = raw.where("part not in ('manifest', 'entity', 'attachment', 'extra')").select(
@@ -98,8 +105,7 @@ def read_bundles(spark: SparkSession, path: str) -> Bundles:
 def read_gedcom(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, line_no, level, xref, tag, value) of the GEDCOM files below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return gedcom.parse_lines(files.select(name.alias("file_id"), gedcom.decode(F.col("content")).alias("text")))
+    return gedcom.parse_lines(files.select(_relative(path).alias("file_id"), gedcom.decode(F.col("content")).alias("text")))
 
 
 def flat_bundles(bundles: Bundles) -> DataFrame:
@@ -159,14 +165,14 @@ def _as_archive(manifest: str, rows: pd.DataFrame, counts: dict, at: str, keep_e
     out = io.BytesIO()
     entities = rows[rows["part"] == "entity"]
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("manifest.json", rawjson.dump(head))
+        z.writestr("manifest.json", rawjson.pretty(head))
         for c in _FOLDERS:
             some = entities[entities["collection"] == c]
             for i, b in zip(some["id"], some["body"], strict=True):
-                z.writestr(f"{c}/{i}.json", b)
+                z.writestr(f"{c}/{i}.json", rawjson.pretty(rawjson.parse(b)))
         documents = entities[entities["collection"] == "documents"]
-        index = ",".join(f"{rawjson.quoted(i)}:{b}" for i, b in zip(documents["id"], documents["body"], strict=True))
-        z.writestr("documents/index.json", "{" + index + "}")
+        index = {i: rawjson.parse(b) for i, b in zip(documents["id"], documents["body"], strict=True)}
+        z.writestr("documents/index.json", rawjson.pretty(index))
         files = rows[rows["part"] == "attachment"]
         for p, c in zip(files["id"], files["content"], strict=True):
             z.writestr(p, c)

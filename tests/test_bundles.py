@@ -251,3 +251,80 @@ def test_gedcom(spark, tmp_path):
 def test_union_last_wins(spark):
     a, b = made(spark, person(1)).entities, made(spark, person(1, notes="new")).entities
     assert json.loads(bundle.union(a, b).first().body)["notes"] == "new"
+
+
+def test_lines_as_they_are_read(spark):
+    text = "0 HEAD\n 1 CHAR x\n1 @X@ TAG v\n0 @X@ TAG v  \n123 DEEP\n1\tTAB\n1  TWO\n0 @Y@\n+1 PLUS a  b\nx\n99999999999 BIG\r\n2 END\t\r\n0 @open"
+    lines = gedcom.parse_lines(spark.createDataFrame([("f", text)], "file_id string, text string")).orderBy("line_no").collect()
+    assert [(r.line_no, r.level, r.xref, r.tag, r.value) for r in lines] == [
+        (1, 0, None, "HEAD", ""), (3, 1, None, "@X@", "TAG v"), (4, 0, "@X@", "TAG", "v"), (5, 123, None, "DEEP", ""),
+        (7, 1, None, "", "TWO"), (8, 0, "@Y@", "", ""), (9, 1, None, "PLUS", "a  b"), (12, 2, None, "END", ""), (13, 0, None, "@open", ""),
+    ]
+
+
+def test_tree_of_any_depth(spark):
+    rows = [("f", i, level, None, f"T{i}", "") for i, level in enumerate([0, 1, 2, 3, 4, 5, 6, 5, 3, 9, 1, 0, 99, 1])]
+    lines = spark.createDataFrame(rows, "file_id string, line_no long, level int, xref string, tag string, value string")
+    got = {r.line_no: (r.record, r.parent_line) for r in gedcom.tree(lines).collect()}
+    assert got == {0: (0, None), 1: (0, 0), 2: (0, 1), 3: (0, 2), 4: (0, 3), 5: (0, 4), 6: (0, 5), 7: (0, 4), 8: (0, 2), 10: (0, 0), 11: (11, None), 13: (11, 11)}
+
+
+def test_repeated_requests(spark):
+    b = made(spark, person(1))
+    body = lambda k, **more: json.dumps({"id": uid(k), "type": "person"} | more)
+    asked = [("b", "persons", body(2, n=1), 5), ("b", "persons", body(2, n=2), 3), ("b", "persons", body(2, n=3), 4), ("b", "persons", body(3), 1)]
+    requests = spark.createDataFrame(asked, "bundle_id string, collection string, body string, seq int")
+    added, refused = crud.add(b.entities, requests)
+    assert json.loads(added.where(added.id == uid(2)).first().body)["n"] == 2 and added.count() == 3
+    assert [(r.id, r.code) for r in refused.collect()] == [(uid(2), "ENTITY_ALREADY_EXISTS")] * 2
+    updated, _ = crud.update(added, requests)
+    assert json.loads(updated.where(updated.id == uid(2)).first().body)["n"] == 1
+
+
+def counts(bundles, bundle_id="b"):
+    head = json.loads(bundles.manifests.where(bundles.manifests.bundle_id == bundle_id).first().body)
+    return head["stats"], head.get("updated_at")
+
+
+def test_manifests_are_refreshed(spark):
+    b = made(spark, person(1), person(2), family(1, (1,), (2,)))
+    other = made(spark, person(1), bundle_id="c")
+    old = made(spark, person(1), bundle_id="old", version="9.9")
+    for x in (other, old):
+        b = Bundles(b.entities.unionByName(x.entities), b.manifests.unionByName(x.manifests))
+    new = spark.createDataFrame([("b", "places", '{"id":"x"}'), ("old", "places", '{"id":"x"}')], "bundle_id string, collection string, body string")
+    result = crud.edit(b, "add", new)
+    stats, at = counts(result.bundles)
+    assert (stats["persons"], stats["families"], stats["places"], stats["documents"]) == (2, 1, 1, 0) and at
+    assert counts(result.bundles, "c") == ({"persons": 0}, None)  # untouched
+    codes_ = [(r.bundle_id, r.code, r.severity) for r in result.diagnostics.distinct().collect()]
+    assert ("old", "UNSUPPORTED_SPEC_VERSION", "error") in codes_ and ("b", "SCHEMA_VALIDATION_FAILED", "warning") in codes_
+    gone = spark.createDataFrame([("b", "persons", uid(2))], "bundle_id string, collection string, id string")
+    assert counts(crud.edit(b, "delete", gone, "cascade").bundles)[0]["persons"] == 1
+    kept = crud.edit(b, "delete", gone, "reject")
+    assert counts(kept.bundles) == ({"persons": 0}, None) and [r.code for r in kept.data.collect()] == ["DELETE_BLOCKED_BY_REFERENCE"]
+    merged = dedup.deduplicate(made(spark, person(1, birth="1900", death="1950"), person(2, birth="1900", death="1950")))
+    assert counts(merged.bundles)[0]["persons"] == 1 and counts(merged.bundles)[1]
+    assert [r.code for r in dedup.deduplicate(old).diagnostics.collect()] == ["UNSUPPORTED_SPEC_VERSION"]
+    bad = Bundles(other.entities, spark.createDataFrame([("c", '{"axgf":"1.0","stats":{"persons":-1}}')], MANIFEST_SCHEMA))
+    assert {r.message for r in validate.validate(bad).collect()} == {"manifest: /stats/persons: minimum", "manifest: /created_at: required"}
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.json").write_text(files.flat_bundles(made(spark, person(1, notes=folder))).first().json)
+        (tmp_path / folder / "same.ged").write_text("0 HEAD")
+    read = files.read_bundles(spark, f"{tmp_path}/a/same.json")
+    assert [r.bundle_id for r in read.entities.collect()] == ["same"]
+    assert {r.file_id for r in files.read_gedcom(spark, str(tmp_path)).collect()} >= {"a/same.ged", "b/same.ged"}
+    for folder in "ab":
+        (tmp_path / folder / "same.ged").unlink()
+    read = files.read_bundles(spark, str(tmp_path))
+    assert sorted((r.bundle_id, json.loads(r.body)["notes"]) for r in read.entities.collect()) == [("a/same", "a"), ("b/same", "b")]
+
+
+def test_codes_in_the_order_they_are_met(spark):
+    found = validate.validate(made(spark, person(1), ("persons", {"id": uid(3), "type": "person"}), family(1, (1,), (1,))))
+    listed = bundle.diagnostics_by_code(found).orderBy("first_phase", "first_seq").collect()
+    assert [r.code for r in listed] == ["SCHEMA_VALIDATION_FAILED", "CYCLE_DETECTED"]
