@@ -1,15 +1,17 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: a symmetric-delete neighbourhood index on tokens.  The family tokens of a bundle and year of birth are
-reduced to distinct ones, every token gives the keys that remain after deleting up to two letters of its
-beginning, and tokens that share a key are neighbours; so small edit distances are found without comparing
-pairs.  Names of neighbouring family tokens whose first names can begin alike are then aligned: tokens are
-assigned to each other at least cost, permitting typing errors, initials, cut and contracted abbreviations,
-nicknames and dropped second names.  Nicknames are learned from the names that the data itself lists as
-nicknames, beside none fixed.  Other scripts are read by their Latin values and readings or transliterated.
-
-Scale: the index holds distinct tokens of a bundle and year, not persons, so a bundle with a third of all rows
-is spread over its years, tokens and first letters; persons meet only within those.
+Method: a symmetric-delete neighbourhood index on tokens.  The distinct family tokens of the whole corpus each
+give the keys that remain after deleting up to two letters of their beginning; tokens that share a key are
+neighbours if their edit distance is small, so such pairs are found without comparing pairs.  The neighbours
+that occur together in a bundle and year of birth bring people together whose first names can be one.  Names
+are then aligned: the further given names are assigned to each other at least total cost, permitting typing
+errors, initials, cut and contracted abbreviations, nicknames and dropped second names.  Nicknames are learned
+from the names that the data itself lists as nicknames, beside none fixed.  Other scripts are read by their
+Latin values and readings or transliterated.
+
+Scale: the index holds distinct tokens of the corpus, not persons, and is met by the distinct tokens of each
+bundle and year; a bundle with a third of all rows is spread over its years, tokens and first names, and
+persons meet only within those.
 
 Defined results: rows without bundle, id or year of birth are nobody's variant; ids of one human in different
 bundles are not paired; persons of stated, different sex are no pair; births count as a year apart by date
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.visual import consistent
 from kinweave.plans.workspace import Workspace
 
-MAX_NICKNAMES = 50_000  # bound of the learned list, most frequent first
+MAX_LEARNED = 1_000_000  # entries of a learned list, which every task holds; more are an error, none is dropped
 
 # fixed values: words before a name
 TITLES = set("mr mrs miss ms rev revd capt dr sir lady sieur dame mme mlle monsieur madame m herr frau fraulein pan pani sp ks widow wid witwe wwe veuve vve wdowa col maj lt sgt prof hon esq jr sr junior senior the".split())
@@ -218,19 +220,52 @@ def same_name(a: tuple[tuple[str, ...], str], b: tuple[tuple[str, ...], str], ni
         first = 0.5 * more if more <= _limit(ga[0], gb[0]) + 1 else None
     if first is None:
         return None
-    rest_a, rest_b = list(ga[1:]), list(gb[1:])
-    total = 0.5 * d + first
+    rest_a, rest_b = ga[1:], gb[1:]
     if len(rest_a) > len(rest_b):
         rest_a, rest_b = rest_b, rest_a
-    # the cheapest assignment of the further names; what is left over was dropped
-    for x in rest_a:
-        options = [(c, i) for i, y in enumerate(rest_b) if (c := nick.cost(x, y)) is not None]
-        if not options:
-            return None
-        c, i = min(options)
-        total += c
-        rest_b.pop(i)
-    return total + 0.3 * len(rest_b)
+    further = assigned([[nick.cost(x, y) for y in rest_b] for x in rest_a]) if rest_a else 0.0
+    if further is None:
+        return None
+    return 0.5 * d + first + further + 0.3 * (len(rest_b) - len(rest_a))  # what is left over was dropped
+
+
+def assigned(cost: list[list[float | None]]) -> float | None:
+    """The least total cost at which every row gets a column of its own, rows at most as many as columns; None where
+    some row cannot.  Rows are added one by one, each along the cheapest chain of reassignments."""
+    n, m = len(cost), len(cost[0])
+    never = 1e6
+    price = [[never if c is None else c for c in row] for row in cost]
+    row_of, u, v = [-1] * m, [0.0] * n, [0.0] * m
+    for start in range(n):
+        least, came, seen = [float("inf")] * m, [-1] * m, [False] * m
+        i, at = start, -1
+        while True:
+            gap, nearest = float("inf"), -1
+            for j in range(m):
+                if not seen[j]:
+                    reduced = price[i][j] - u[i] - v[j]
+                    if reduced < least[j]:
+                        least[j], came[j] = reduced, at
+                    if least[j] < gap:
+                        gap, nearest = least[j], j
+            u[start] += gap
+            for j in range(m):
+                if seen[j]:
+                    u[row_of[j]] += gap
+                    v[j] -= gap
+                else:
+                    least[j] -= gap
+            at = nearest
+            seen[at] = True
+            if row_of[at] < 0:
+                break
+            i = row_of[at]
+        while at >= 0:
+            before = came[at]
+            row_of[at] = start if before < 0 else row_of[before]
+            at = before
+    total = sum(price[row_of[j]][j] for j in range(m) if row_of[j] >= 0)
+    return total if total < never else None
 
 
 def births_near(a: str, b: str) -> bool:
@@ -254,10 +289,15 @@ def learned_scripts(persons: DataFrame) -> dict[str, str]:
         .count()
         .groupBy("value")
         .agg(F.max(F.struct("count", "value_latin")).alias("best"))
-        .orderBy(F.desc("best.count"), "value")
-        .limit(MAX_NICKNAMES)
     )
-    return {consistent(r.value): r.best.value_latin for r in counted.collect()}
+    return {consistent(r.value): r.best.value_latin for r in _bounded(counted)}
+
+
+def _bounded(learned: DataFrame) -> list:
+    rows = learned.limit(MAX_LEARNED + 1).collect()
+    if len(rows) > MAX_LEARNED:
+        raise ValueError(f"more than {MAX_LEARNED} learned entries; every task would have to hold them")
+    return rows
 
 
 def profiles(persons: DataFrame, scripts: dict[str, str] | None = None) -> DataFrame:
@@ -318,10 +358,8 @@ def learned_nicknames(persons: DataFrame) -> Nicknames:
         .groupBy("name", "nick")
         .count()
         .where("count > 1")
-        .orderBy(F.desc("count"), "name", "nick")
-        .limit(MAX_NICKNAMES)
     )
-    return Nicknames([(r.name, r.nick) for r in pairs.collect()])
+    return Nicknames(sorted((r.name, r.nick) for r in _bounded(pairs)))
 
 
 def _delete_keys(token):
@@ -339,6 +377,33 @@ def _delete_keys(token):
     return F.array_distinct(F.concat(F.array(head), once, twice))
 
 
+def neighbours(tokens: DataFrame) -> DataFrame:
+    """(family, other), family <= other: the distinct tokens (family) within the edit distance that their length
+    allows, each with itself too."""
+    keyed = tokens.select("family", F.explode(_delete_keys(F.col("family"))).alias("k"))
+    met = (
+        keyed.join(keyed.withColumnRenamed("family", "other").hint("merge"), "k")
+        .where("family < other and abs(length(family) - length(other)) <= 2 and levenshtein(family, other) <= 4")
+        .select("family", "other")
+        .distinct()
+    )
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[distance(x, y, _limit(x, y)) <= _limit(x, y) for x, y in zip(b["family"], b["other"], strict=True)]]
+
+    return met.mapInPandas(near, "family string, other string").unionByName(tokens.select("family", F.col("family").alias("other")))
+
+
+def first_keys(first: str, nick: Nicknames) -> list[str]:
+    """Keys of which first names that can be one share at least one: the first two letters of each reading, as one
+    edit leaves one of them among the other's first two; and the last three letters of long names, which stay
+    where both edits hit the beginning."""
+    if len(first) == 1:
+        return [first]
+    return sorted({k for n in nick.names(first) for k in (*n[:2], *([f"-{n[-3:]}"] if len(n) > 5 else []))})
+
+
 def variant_pairs(persons: DataFrame) -> DataFrame:
     """(person_id_a, person_id_b) of the ids of a bundle that mean one human."""
     spark = persons.sparkSession
@@ -347,39 +412,37 @@ def variant_pairs(persons: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(nicknames)
     known = ws.cut(profiles(persons, learned_scripts(persons)))
     # one id's own years: a pair is at most a year apart, so it meets in the bucket of the later one
-    placed = known.withColumn("bucket", F.explode(F.array("year", F.col("year") + 1)))
-    tokens = placed.select("bundle_id", "bucket", "family").distinct()
-    keyed = tokens.select("bundle_id", "bucket", "family", F.explode(_delete_keys(F.col("family"))).alias("k")).select(
-        "bundle_id", "bucket", "family", F.xxhash64("bundle_id", "bucket", "k").alias("k")
-    )
-    near = (
-        keyed.join(keyed.hint("merge").select("k", F.col("family").alias("other"), F.col("bundle_id").alias("b2"), F.col("bucket").alias("y2")), "k")
-        .where("bundle_id = b2 and bucket = y2 and family <= other and abs(length(family) - length(other)) <= 2 and levenshtein(family, other) <= 4")
-        .select("bundle_id", "bucket", "family", "other")
-        .distinct()
+    bucket = F.explode(F.array("year", F.col("year") + 1)).alias("bucket")
+    placed = known.select("*", bucket).withColumn("place", F.xxhash64("bundle_id", "bucket"))
+    tokens = ws.cut(placed.select("place", "family").distinct())
+    near = ws.cut(neighbours(tokens.select("family").distinct()))
+    # the neighbours of each bundle and year; written tables are compressed, so their size says little of what a
+    # broadcast would hold: sort and merge
+    near = ws.cut(
+        tokens.join(near.hint("merge"), "family")
+        .join(tokens.withColumnRenamed("family", "other").hint("merge"), ["place", "other"], "left_semi")
+        .select("place", "family", "other")
     )
-    near = ws.cut(near)
 
-    # first names meet by the letters that one of their readings begins with
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nick = shared.value
         for b in batches:
-            b["letter"] = [sorted({c for n in nick.names(g[0]) for c in n[:2]} if len(g[0]) > 1 else {g[0]}) for g in b["given"]]
-            yield b.explode("letter")
-
-    fields = "bundle_id string, id string, birth string, year int, sex string, given array<string>, family string, bucket int"
-    people = placed.select("bundle_id", "id", "birth", "year", "sex", "given", "family", "bucket").mapInPandas(letters, fields + ", letter string")
-    people = ws.cut(people)
-    # written tables are compressed, so their size says little of what a broadcast would hold: sort and merge
-    left = people.join(near.hint("merge"), ["bundle_id", "bucket", "family"])
+            b["letter"] = [first_keys(g[0], nick) for g in b["given"]]
+            yield b
+
+    fields = "bundle_id string, id string, birth string, year int, sex string, given array<string>, family string"
+    people = ws.cut(known.select("bundle_id", "id", "birth", "year", "sex", "given", "family").mapInPandas(letters, fields + ", letter array<string>"))
+    people = people.select("*", bucket).withColumn("place", F.xxhash64("bundle_id", "bucket"))
+    # rows meet on numbers alone and fetch nothing that the meeting does not need
+    left = people.join(near.hint("merge"), ["place", "family"]).withColumn("letter", F.explode("letter"))
     right = people.select(
-        "bundle_id", "bucket", "letter", F.col("family").alias("other"), F.col("id").alias("id2"), F.col("birth").alias("birth2"),
-        F.col("year").alias("year2"), F.col("sex").alias("sex2"), F.col("given").alias("given2"),
+        "place", F.explode("letter").alias("letter"), F.col("family").alias("other"), F.col("bundle_id").alias("bundle2"), F.col("id").alias("id2"),
+        F.col("birth").alias("birth2"), F.col("year").alias("year2"), F.col("sex").alias("sex2"), F.col("given").alias("given2"),
     )
     met = (
-        left.join(right.hint("merge"), ["bundle_id", "bucket", "letter", "other"])
-        .where("id <> id2 and (sex is null or sex2 is null or sex = sex2) and bucket = greatest(year, year2) + if(year = year2, 1, 0)")
-        .where("family <> other or id < id2")
+        left.join(right.hint("merge"), ["place", "letter", "other"])
+        .where("bundle_id = bundle2 and id <> id2 and (sex is null or sex2 is null or sex = sex2)")
+        .where("bucket = greatest(year, year2) + if(year = year2, 1, 0) and (family <> other or id < id2)")
         .select("id", "birth", "given", "family", "id2", "birth2", "given2", F.col("other").alias("family2"))
         .distinct()
     )
