@@ -144,6 +144,10 @@ def _look_up(token: str) -> tuple[int, int, int, str]:
         for w, more in by_length.get(len(plain), ()):
             if pattern.fullmatch(w):
                 bits, meant = bits | more, w
+        for b, more in begin:  # the beginning of a word of which two letters are shown at least
+            shown = [x == y for x, y in zip(plain, b) if x != "*"]
+            if len(b) <= len(plain) <= len(b) + 5 and len(shown) > 1 and all(shown):
+                bits, meant = bits | more, b + plain[len(b) :]
         return bits, 1, shouted, meant
     spelled = "".join(c for c in (low.translate(_LEET) if odd else low) if c.isalpha())
     key = _key(spelled)

@@ -6,7 +6,9 @@ phrases of PHRASE words of the evaluation items are sought at once by backward s
 by walking to the next sampled position.  Hits of a document and an item on one diagonal merge into runs, runs
 into aligned spans that may hold changed, missing or added words (each costs PENALTY), and the spans of a pair
 are counted together.  As a word costs three, an aligned span of LEAST points holds a run of PHRASE words, so
-the phrases lose none.
+the phrases lose none.  Shorter pieces count too where they continue each other: runs in the order of the item
+are chained, whatever lies between them in the text, at the cost of one word for each word of the item left
+out, so a passage broken into many pieces is found and scattered common wording is not.
 
 Scale: shards are cut from the partitions of the corpus, so the corpus is read once and never shuffled; only
 the items (a fixed set, checked against MAX_ITEM_WORDS) are sent to all tasks.  Words that no item has are one
@@ -39,9 +41,8 @@ SHARD = 1 << 18  # symbols in a shard
 SAMPLE = 8
 MAX_ITEM_WORDS = 20_000_000
 
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});|\]\([^()\s]{1,200}\)")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});|\]\([^()\s]+\)")
 _WORD = re.compile(r"[^\W_]+")
-_BREAKS = str.maketrans("\n\r\t\v\f", "     ")
 
 
 def _fold(word: str) -> str:
@@ -53,7 +54,7 @@ def _fold(word: str) -> str:
 
 def words(text: str) -> list[str]:
     if not text.isascii():
-        text = consistent.__wrapped__(text.translate(_BREAKS))
+        text = consistent.__wrapped__(text)  # line breaks become spaces too
     if "<" in text or "&" in text or "](" in text:
         text = _MARKUP.sub(" ", text)
     return _WORD.findall(text)
@@ -178,6 +179,29 @@ class Items:
         return cls(code, ids, texts, phrases, np.array(owner, np.int64)[order], np.array(place, np.int64)[order], start)
 
 
+def chained(runs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """The points and runs of the best chain of (place in text, place in item, words): both places go on, words that
+    overlap count once, each word of the item left out costs one."""
+    best: list[tuple[int, int]] = []  # points of the best chain that ends here, the run before
+    for j, (p, q, n) in enumerate(runs):
+        points, before = n, -1
+        for i in range(j):
+            p0, q0, n0 = runs[i]
+            skipped = q - (q0 + n0)
+            again = max(0, -skipped, p0 + n0 - p)
+            if q > q0 and p > p0 and again < n:
+                got = best[i][0] + n - again - max(0, skipped)
+                if got > points:
+                    points, before = got, i
+        best.append((points, before))
+    at = max(range(len(runs)), key=lambda k: best[k][0])
+    total, out = best[at][0], []
+    while at >= 0:
+        out.append(runs[at])
+        at = best[at][1]
+    return total, out[::-1]
+
+
 def align(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
     """The best local alignments of LEAST points or more, apart from each other: (words, from, to) in text."""
     same = item[:, None] == text[None, :]
@@ -209,12 +233,14 @@ def align(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
             return out
         matched, start = int(count[i, j]), int(begin[i, j])
         out.append((matched, start, j))
-        same = same.copy()
+        same = same.copy() if len(out) == 1 else same
         same[:, start:j] = False  # words of the text count once
         # words of the item count once too: those that this span used
         used = np.zeros(n, bool)
         used[max(0, i - (j - start) - 3) : i] = True
         same[used] = False
+        if min(same.any(axis=0).sum(), same.any(axis=1).sum()) < LEAST:  # no further span can have the points
+            return out
 
 
 def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -276,8 +302,15 @@ def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]
                 best[4] = max(best[4], best[2])
         good = [s for s in spans if s[4] >= LEAST]
         if sum(s[1] - s[0] for s in good) < MIN_WORDS:  # an alignment does not reach beyond its span
+            if sum(n for _, _, n in runs) >= MIN_WORDS:
+                points, pieces = chained(runs)
+                if points >= MIN_WORDS:
+                    for p, _, n in pieces:
+                        yield doc_ids[rd[a]], items.ids[ri[a]], n, p, p + n
             continue
-        whole = items.texts[ri[a]]
+        # the part of the item that the runs touch, with room for what the alignment adds
+        firsts, lasts = ra[a:b].min(), (ra[a:b] + length[a:b]).max()
+        whole = items.texts[ri[a]][max(0, firsts - 12) : lasts + 12]
         # windows around the spans, joined where they overlap
         margin = 12
         windows: list[list[int]] = []

@@ -10,7 +10,8 @@ garbled by every chain must come back.
 
 Scale: lines meet their record within blocks of line numbers of a file, so a file of any share of the rows is
 spread; the carry between blocks is one row a block.  Words are judged once each, wherever they occur.  The
-trigram table is bounded by the alphabet: characters beyond the ALPHABET most frequent ones count as one.
+trigram table has at most MAX_TRIGRAMS entries: only where the corpus has more, its rarest characters count as
+one, in training and in scoring alike.
 
 Defined results: null values are empty text; CONC adds to the value, CONT adds a line break and it; of
 reloaded lines the latest ingested_at counts (ties: the greater tag and value); CONC/CONT lines before any
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from kinweave.plans.workspace import Workspace
 
 BLOCK = 4096  # line numbers in a block
-ALPHABET = 400
+MAX_TRIGRAMS = 2_000_000  # what the driver collects and every task holds
+POOLED = "\uffff"  # stands for the rarest characters
 ROUGH = 2.0  # the first round's margin: it only keeps words out of the counts
 MARGINS = tuple(1.5 + 0.25 * k for k in range(35))  # what the validation chooses from
 CONTINUATIONS = ("CONC", "CONT")
@@ -208,7 +210,9 @@ def garble(word: str) -> set[str]:
 class Model:
     """Interpolated character trigrams."""
 
-    def __init__(self, trigrams: dict[str, float]):
+    def __init__(self, trigrams: dict[str, float], alphabet: frozenset[str] | None = None):
+        """alphabet: the characters that are told apart; None for all."""
+        self.alphabet = alphabet
         self.three: dict[str, float] = dict(trigrams)
         self.two: Counter = Counter()
         self.before: Counter = Counter()
@@ -235,13 +239,16 @@ class Model:
                 self._memo.clear()
         return got
 
+    def _padded(self, word: str) -> str:
+        return f"^^{word}$" if self.alphabet is None else "^^" + "".join(c if c in self.alphabet else POOLED for c in word) + "$"
+
     def score(self, word: str) -> float:
-        padded = f"^^{word}$"
+        padded = self._padded(word)
         return sum(self.step(padded[i : i + 3]) for i in range(len(padded) - 2))
 
     def score_without(self, word: str, n: float) -> float:
         """The score by a model that has not seen the word's own n occurrences."""
-        padded = f"^^{word}$"
+        padded = self._padded(word)
         grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
         own3 = Counter(grams)
         own_before, own2 = Counter(g[:2] for g in grams), Counter(g[1:] for g in grams)
@@ -258,11 +265,11 @@ class Model:
         return out
 
     def local(self, done: str, c: str, after: str | None) -> float:
-        padded = f"^^{done}{c}{after or ''}"
+        padded = self._padded(f"{done}{c}{after or ''}")[:-1]
         return sum(self.step(padded[i : i + 3]) for i in range(len(done), len(padded) - 2))
 
     def rarest(self, word: str) -> float:
-        padded = f"^^{word}$"
+        padded = self._padded(word)
         return min(self.three.get(padded[i : i + 3], 0.0) for i in range(len(padded) - 2))
 
     def best(self, word: str, n: float = 0.0) -> tuple[str | None, float]:
@@ -282,27 +289,24 @@ class Model:
         return best, gain
 
 
-def trigram_counts(words: DataFrame) -> dict[str, float]:
-    """Counts of the padded trigrams of (word, n); the alphabet bounds the table that is collected."""
-    letters = (
-        words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "n")
-        .groupBy("c")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "c")
-        .limit(ALPHABET)
-    )
-    known = "".join(sorted(r.c for r in letters.collect() if r.c))
+def trained(ws: Workspace, words: DataFrame, most: int = MAX_TRIGRAMS) -> Model:
+    """The model of the padded trigrams of (word, n)."""
     padded = F.concat(F.lit("^^"), "word", F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    counted = (
-        words.select(F.explode(grams).alias("g"), "n").groupBy("g").agg(F.sum("n").cast("double").alias("n"))
-    )
-    # rare characters become one, after the first aggregation so that this runs once a distinct trigram
-    kept = known + "^$"
-    squeezed = F.concat(
-        *[F.when(F.instr(F.lit(kept), F.substring("g", i, 1)) > 0, F.substring("g", i, 1)).otherwise("￿") for i in (1, 2, 3)]
-    )
-    return {r.g: r.n for r in counted.groupBy(squeezed.alias("g")).agg(F.sum("n").alias("n")).collect()}
+    counted, seen = ws.cut_counted(words.select(F.explode(grams).alias("g"), "n").groupBy("g").agg(F.sum("n").cast("double").alias("n")))
+    if seen["n"] <= most:
+        return Model({r.g: r.n for r in counted.collect()})
+    # tell apart as many characters, most frequent first, as the bound permits; their number is one of Unicode's at most
+    letters = counted.select(F.substring("g", 3, 1).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
+    kept = len(letters)
+    while True:
+        kept //= 2
+        alphabet = frozenset("".join(r.c for r in letters[:kept])) | {"^", "$"}
+        known = F.lit("".join(sorted(alphabet)))
+        one = [F.when(F.instr(known, F.substring("g", i, 1)) > 0, F.substring("g", i, 1)).otherwise(POOLED) for i in (1, 2, 3)]
+        squeezed, seen = ws.cut_counted(counted.groupBy(F.concat(*one).alias("g")).agg(F.sum("n").alias("n")))
+        if seen["n"] <= most or not kept:
+            return Model({r.g: r.n for r in squeezed.collect()}, alphabet)
 
 
 def _judge(model: Model):
@@ -359,12 +363,12 @@ def judged_words(ws: Workspace, words: DataFrame) -> DataFrame:
     # a few bytes a word, much work: partitions by number, not by size
     tasks = 3 * words.sparkSession.sparkContext.defaultParallelism
     odd = words.where(F.col("word").rlike(r"[^\x00-\x7f]")).repartition(tasks, "word")
-    first = Model(trigram_counts(words))
+    first = trained(ws, words)
     rough = ws.cut(odd.select("word", "n").mapInPandas(_judge(first), "word string, original string, gain double"))
     broken = F.col("word").rlike("[\\x7f-\\x9f�]")
     dirty = rough.where(broken | (F.col("gain") > ROUGH)).select("word")
     clean = ws.cut(words.join(dirty, "word", "left_anti").where(~broken))
-    model = Model(trigram_counts(clean))
+    model = trained(ws, clean)
     held = clean.where(F.col("word").rlike(r"[^\x00-\x7f]")).repartition(tasks, "word")
     margin = validated_margin(held, model)
     counted = odd.join(clean.select("word", F.col("n").alias("m")), "word", "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinweave.llm import abuse, leaks, mojibake, spellings, survivor, titles, tokens, visual
 from kinweave.plans.workspace import table
@@ -33,6 +32,11 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
     return survivor.latent_truth(table(spark, d, "persons"))[1]
 
 
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often the quality model keeps what the rule picks."""
+    return survivor.agreement(table(spark, d, "persons"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.affected_fields(table(spark, d, "persons"))
 
@@ -48,9 +52,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The titles that mean none of the list, with the number of occupations."""
-    latest = titles.match_titles(table(spark, d, "occupations").where("title is not null"), table(spark, d, "title_reference"))
-    none = latest.where(F.col("title_code") == titles.NONE).select("title")
-    return table(spark, d, "occupations").join(none, "title").groupBy("title").agg(F.countDistinct("id").alias("n_occupations"))
+    return titles.unmatched(table(spark, d, "occupations"), table(spark, d, "title_reference"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +105,7 @@ QUERIES = {
     "p4_found": (p4_found, _P4),
     "p4_truth": (p4_truth, None),
     "p4_sources": (p4_sources, None),
+    "p4_agreement": (p4_agreement, None),
     "p5_found": (p5_found, None),
     "p5_names": (p5_names, None),
     "p7_found": (p7_found, None),

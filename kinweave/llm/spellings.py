@@ -397,11 +397,11 @@ def neighbours(tokens: DataFrame) -> DataFrame:
 
 def first_keys(first: str, nick: Nicknames) -> list[str]:
     """Keys of which first names that can be one share at least one: the first two letters of each reading, as one
-    edit leaves one of them among the other's first two; and the last three letters of long names, which stay
+    edit leaves one of them among the other's first two; and the last three letters of others than the shortest, which stay
     where both edits hit the beginning."""
     if len(first) == 1:
         return [first]
-    return sorted({k for n in nick.names(first) for k in (*n[:2], *([f"-{n[-3:]}"] if len(n) > 5 else []))})
+    return sorted({k for n in nick.names(first) for k in (*n[:2], *([f"-{n[-3:]}"] if len(n) > 3 else []))})
 
 
 def variant_pairs(persons: DataFrame) -> DataFrame:

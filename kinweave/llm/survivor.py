@@ -5,7 +5,8 @@ field by its own order, so no group is ever gathered.  ``latent_truth`` is the q
 problem: every source (the exporter in created_by) has a sensitivity and a specificity, every value of an
 entity's field is true or not, and expectation-maximisation alternates between them; a field with several
 values keeps each one judged true.  The model cannot give the rule's result (it judges values, the rule picks
-rows by stored confidence), so the rule decides p4_found and the model p4_truth.
+rows by stored confidence), so the rule decides p4_found and the model p4_truth; ``agreement`` tells how often
+the value of the row that the rule picks is one that the model keeps.
 
 The model never pairs values with sources: an entity's silent sources enter as one sum per entity and field,
 from which a claim replaces its own term.  Ids of any number of rows therefore cost one pass.
@@ -16,6 +17,8 @@ null confidence, unreadable updated_at and NaN are lowest; exact copies tie down
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +83,11 @@ def claims(persons: DataFrame) -> DataFrame:
     )
 
 
-def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def latent_truth(persons: DataFrame, most_rounds: int = 30, still: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """values (id, field_name, value, n_sources, probability, kept) and sources (source, field_name,
     sensitivity, specificity).  kept: of a date the likeliest value, of names every value of probability
-    one half or more.  rounds is the fixed number of EM rounds."""
+    one half or more.  The share of true values of each field is estimated along.  The rounds end when no
+    sensitivity, specificity or share moves by more than still, or after most_rounds."""
     ws = Workspace(persons.sparkSession, "truth")
     said = ws.cut(claims(persons))
     group = ["id", "field_name"]
@@ -91,8 +95,8 @@ def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.3) -> tup
     quality = covers.select("source", "field_name").distinct().select(
         "source", "field_name", F.lit(0.8).alias("sensitivity"), F.lit(0.9).alias("specificity")
     )
-    values = None
-    for _ in range(rounds):
+    values, share = None, dict.fromkeys(FIELDS, 0.3)
+    for _ in range(most_rounds):
         odds = quality.select(
             "source",
             "field_name",
@@ -105,7 +109,8 @@ def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.3) -> tup
             .groupBy(*group, "value")
             .agg(F.sum(F.col("claimed") - F.col("silent")).alias("claimed"), F.count("*").alias("n_sources"))
         )
-        logit = F.log(F.lit(prior / (1 - prior))) + F.col("silent") + F.col("claimed")
+        odds_of = F.create_map(*[F.lit(x) for f in FIELDS for x in (f, math.log(share[f] / (1 - share[f])))])
+        logit = odds_of[F.col("field_name")] + F.col("silent") + F.col("claimed")
         values = ws.cut(
             claimed.join(silent, group).select(*group, "value", "n_sources", (1 / (1 + F.exp(-logit))).alias("probability"))
         )
@@ -124,9 +129,32 @@ def latent_truth(persons: DataFrame, rounds: int = 5, prior: float = 0.3) -> tup
             ((F.col("q") - F.coalesce("fp", F.lit(0.0)) + 1) / (F.col("q") + 2)).alias("specificity"),
         )
         # a claim never speaks against a value: else two poor sources could turn the model upside down
-        quality = ws.cut(rates.withColumn("specificity", F.greatest("specificity", 1 - F.col("sensitivity"))))
+        new = ws.cut(rates.withColumn("specificity", F.greatest("specificity", 1 - F.col("sensitivity"))))
+        before = quality.select("source", "field_name", F.col("sensitivity").alias("s"), F.col("specificity").alias("t"))
+        moved = new.join(before, ["source", "field_name"]).agg(F.max(F.greatest(F.abs(F.col("sensitivity") - F.col("s")), F.abs(F.col("specificity") - F.col("t"))))).first()[0]
+        means = {r.field_name: min(0.95, max(0.05, r.p)) for r in values.groupBy("field_name").agg(F.avg("probability").alias("p")).collect()}
+        moved = max([moved or 0.0, *(abs(p - share[f]) for f, p in means.items())])
+        quality, share = new, share | means
+        if moved <= still:
+            break
     best = values.groupBy(*group).agg(F.max(F.struct("probability", "value")).alias("best"))
     kept = F.when(F.col("field_name") == "names", F.col("probability") >= 0.5).otherwise(
         F.col("value") == F.col("best.value")
     )
     return values.join(best, group).withColumn("kept", kept).drop("best"), quality
+
+
+def agreement(persons: DataFrame) -> DataFrame:
+    """(field_name, n_survivors, n_kept): survivors by the rule, and those whose value (every name, for names) the
+    quality model keeps too."""
+    values, _ = latent_truth(persons)
+    picked = survivors(persons).withColumnRenamed("person_id", "id")
+    names = F.array_distinct(F.filter("identity.names.display", lambda x: x.isNotNull()))
+    shown = F.when(F.col("field_name") == "names", names).otherwise(
+        F.array(F.when(F.col("field_name") == "birth_date", F.col("birth.date.value")).otherwise(F.col("death.date.value")))
+    )
+    rows = persons.select("row_id", "identity", "birth", "death").join(picked, "row_id")
+    each = rows.select("row_id", "id", "field_name", F.explode(shown).alias("value"))
+    judged = each.join(values.select("id", "field_name", "value", "kept"), ["id", "field_name", "value"], "left")
+    whole = judged.groupBy("row_id", "field_name").agg(F.min(F.coalesce("kept", F.lit(False))).alias("kept"))
+    return whole.groupBy("field_name").agg(F.count("*").alias("n_survivors"), F.count_if("kept").alias("n_kept"))

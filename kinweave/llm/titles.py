@@ -117,6 +117,8 @@ class Reference:
                 node = node.setdefault(c, {})
             node[self.END] = self.exact[form]
         self.entries = sorted(set(self.entries))
+        # runs of words looked up: one more than any entry has, as a word may be typed in two
+        self.longest = 1 + max((len(p) for p, _ in self.entries), default=0)
         self.by_first: dict[str, list[tuple[tuple[str, ...], str]]] = defaultdict(list)
         for p, c in self.entries:
             self.by_first[p[0][0]].append((p, c))
@@ -199,7 +201,7 @@ class Reference:
         parts = [_clean(w) for w in words(flat)]
         parts = [w for w in parts if not w.isdigit()]
         spans = sorted(
-            ((i, j) for i in range(len(parts)) for j in range(i + 1, min(len(parts), i + 4) + 1)),
+            ((i, j) for i in range(len(parts)) for j in range(i + 1, min(len(parts), i + self.longest) + 1)),
             key=lambda s: (s[0] - s[1], s[0]),
         )
         # the longest run of words that is an entry or an alias
@@ -264,12 +266,24 @@ def match_titles(titles: DataFrame, reference: DataFrame) -> DataFrame:
     return titles.select("title").distinct().repartition(tasks, "title").mapInPandas(run, "title string, title_code string")
 
 
-def occupation_codes(occupations: DataFrame, reference: DataFrame) -> DataFrame:
-    """(occupation_id, title_code) of every occupation with a title."""
-    latest = (
+def latest_titles(occupations: DataFrame) -> DataFrame:
+    """(id, title): the title that counts of every occupation that has one."""
+    return (
         occupations.where(F.col("title").rlike(r"[^\s\p{Z}]"))
         .groupBy("id")
         .agg(F.max(F.struct("ingested_at", "title"))["title"].alias("title"))
     )
+
+
+def unmatched(occupations: DataFrame, reference: DataFrame) -> DataFrame:
+    """(title, n_occupations): the titles that mean none of the list."""
+    latest = latest_titles(occupations)
+    none = match_titles(latest, reference).where(F.col("title_code") == NONE).select("title")
+    return latest.join(none, "title").groupBy("title").agg(F.count("*").alias("n_occupations"))
+
+
+def occupation_codes(occupations: DataFrame, reference: DataFrame) -> DataFrame:
+    """(occupation_id, title_code) of every occupation with a title."""
+    latest = latest_titles(occupations)
     codes = match_titles(latest, reference)
     return latest.join(codes, "title").select(F.col("id").alias("occupation_id"), "title_code")

@@ -31,7 +31,7 @@ CYRILLIC_LATIN = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Һ": "H", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y", "ɡ": "g", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï",
 }
 GREEK_LATIN = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
@@ -39,13 +39,18 @@ GREEK_LATIN = {
     "τ": "t", "ε": "e", "ϲ": "c", "ϳ": "j", "η": "n", "χ": "x", "ό": "ó", "ά": "á", "έ": "é", "ί": "í", "ύ": "ú",
 }
 
+# fixed values: letters of the Latin block that look like others of it; no spelling of a name uses them
+LATIN_LATIN = {"ɡ": "g", "ɑ": "a", "ꞔ": "c"}
+_TO_PLAIN = str.maketrans(LATIN_LATIN)
+
 _IGNORED_MARKS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
 
 
 def _invisible(ch: str) -> bool:
     o = ord(ch)
     kind = unicodedata.category(ch)
-    return kind == "Cf" or o in _IGNORED_MARKS or 0xFE00 <= o <= 0xFE0F or (kind == "Cc" and not ch.isspace())
+    selects = 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF  # variation selectors
+    return kind == "Cf" or o in _IGNORED_MARKS or selects or (kind == "Cc" and not ch.isspace())
 
 
 def _plain(ch: str) -> str:
@@ -61,9 +66,9 @@ def _plain(ch: str) -> str:
 
 
 @functools.cache
-def _tables() -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
-    """The compiled pattern, the mapping of all single characters and all accented pairs, and the characters
-    without which a text has nothing to map."""
+def _tables() -> tuple[re.Pattern, dict[str, str], frozenset[str], frozenset[str]]:
+    """The compiled pattern, the mapping of all single characters and all accented pairs, the characters without
+    which a text has nothing to map, and those of them that belong to the cluster before them."""
     mapping: dict[str, str] = {}
 
     def add(key: str, value: str) -> None:
@@ -71,7 +76,8 @@ def _tables() -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
             raise ValueError(f"conflict: {key!r} -> {mapping[key]!r} and {value!r}")
 
     touched = []
-    for o in range(0x80, 0x20000):
+    # the planes between hold ideographs that are their own form, and nothing else that is assigned
+    for o in (*range(0x80, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         if 0xD800 <= o < 0xE000:
             continue
         ch = chr(o)
@@ -90,16 +96,17 @@ def _tables() -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
         if any(mapping.get(x, x) != x for x in value):
             raise ValueError(f"not closed: {key!r} -> {value!r}")
     # any base with the marks, sound marks and invisible characters after it is one cluster
-    trail = "̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚ﾞﾟ︀-️︠-︯­͏​-‏⁠-⁤﻿"
+    trail = "̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚ﾞﾟ︀-️︠-︯­͏​-‏⁠-⁤﻿\U000e0000-\U000e01ef"
     single = "".join(sorted(re.escape(x) for x in touched))
     pattern = re.compile(f"[^{trail}][{trail}]+|[{trail}]+|[\x00-\x1f\x7f{single}]")
     marks = {chr(o) for a, b in re.findall("(.)-(.)|.", trail) if a for o in range(ord(a), ord(b) + 1)} | set(trail)
-    return pattern, mapping, frozenset(marks - {"-"} | {k for k in mapping if len(k) == 1})
+    marks -= {"-"}
+    return pattern, mapping, frozenset(marks | {k for k in mapping if len(k) == 1}), frozenset(marks)
 
 
 @functools.lru_cache(1 << 16)
 def _cluster(cluster: str) -> str:
-    _, mapping, _ = _tables()
+    _, mapping, _, _ = _tables()
     if cluster in mapping:
         return mapping[cluster]
     # marks and invisible characters mixed: the rule, as the table holds each base with its own marks only
@@ -141,9 +148,15 @@ def consistent(text: str, latin_field: bool = False) -> str:
     """The one consistent form of a text."""
     if text.isascii() and text.isprintable():
         return text
-    pattern, _, touched = _tables()
-    if not touched.isdisjoint(text):
+    pattern, mapping, touched, trailing = _tables()
+    found = touched.intersection(text)
+    if not found.isdisjoint(trailing):
         text = pattern.sub(lambda m: _cluster(m[0]), text)
+    else:  # every cluster is one character: no output holds a key, so the order is free
+        for c in found:
+            text = text.replace(c, mapping[c])
+    if any(c in text for c in LATIN_LATIN):
+        text = _WORD.sub(lambda m: m[0].translate(_TO_PLAIN) if _LATIN.search(m[0]) else m[0], text)
     if not (_CYRILLIC.search(text) or _GREEK.search(text)):
         return text
     latin_value = bool(_LATIN.search(text))

@@ -265,10 +265,26 @@ def test_leaks(spark, tables, clash):
 
 def test_disguises():
     for text in ("you fucking moron", "yov f.u.c.king m_o_r_o_n", "y0u fuck1ng m0r0n", "you fuuuucking moroooon", "you f**king m*ron", "YOU FUCKING MORON.!1!"):
-        x = dict(zip(abuse.FEATURES, abuse.features(text), strict=True))
+        x = dict(zip(abuse.FEATURES, abuse.features(text, abuse.Lexicon()), strict=True))
         assert x["top_insult"] >= 1 and x["top_swearing"] >= 1 and x["top_second"] >= 1, text
-    assert not abuse.features("The cat sat on the mat in 1850")[: len(abuse.NAMES) - 1].any()
-    assert not abuse.features(None).any() and not abuse.features(" \n ").any()
+    for text in ("The cat sat on the mat in 1850", None, " \n ", "", "you " * 50):
+        assert abuse.features(text, abuse.Lexicon()) is None
+    for text in ("Eres un cabrón y un gilipollas", "Sei uno stronzo", "Ты мудак"):
+        assert abuse.features(abuse.unicodedata.normalize("NFC", text), abuse.Lexicon()) is not None or text.startswith("Ты")
+
+
+def test_words_near_hits_are_learned():
+    sober = [[["bastard", "son", "of", "the"]], [["bastard", "son", "in", "the"]]] * 20
+    harsh = [[["you", "bastard"], ["bastard", "son"]], [["you", "bitch"]]] * 20
+    weights = abuse.word_weights([(w, 0.0, 1.0) for w in sober] + [(w, 1.0, 1.0) for w in harsh])
+    assert weights["you"] > 1 and weights["son"] < 0 and abuse.context(harsh[0], weights) > 0 > abuse.context(sober[0], weights)
+    assert abuse.word_weights([]) == {} and abuse.context([], weights) == 0
+
+
+def test_words_of_offending_texts_are_learned(spark):
+    rows_ = [(f"text {i} " + ("gribble" if i % 3 == 0 else "calm"), float(i % 3 == 0), 1.0, i % 5) for i in range(60)]
+    judged = spark.createDataFrame(rows_, "text string, y double, w double, fold int")
+    assert abuse.learned_words(judged) == [frozenset({"gribble"})] * 6
 
 
 def test_isotonic_equals_definition():
