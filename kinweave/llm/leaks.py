@@ -244,7 +244,7 @@ def align(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(doc_id, item_id, matched words, first word, end word) of each aligned span of a shard."""
+    """(doc_id, item_id, matched words, first word, end word) of each span of the pairs that share MIN_WORDS or more."""
     parts, places, docs = [], [], []
     for d, s in enumerate(sequences):
         # a run of words of no item takes one place
@@ -301,29 +301,32 @@ def leaks_in_shard(items: Items, doc_ids: list[int], sequences: list[np.ndarray]
                 best[2] = max(best[2] + n - PENALTY, n)
                 best[4] = max(best[4], best[2])
         good = [s for s in spans if s[4] >= LEAST]
-        if sum(s[1] - s[0] for s in good) < MIN_WORDS:  # an alignment does not reach beyond its span
-            if sum(n for _, _, n in runs) >= MIN_WORDS:
-                points, pieces = chained(runs)
-                if points >= MIN_WORDS:
-                    for p, _, n in pieces:
-                        yield doc_ids[rd[a]], items.ids[ri[a]], n, p, p + n
-            continue
-        # the part of the item that the runs touch, with room for what the alignment adds
-        firsts, lasts = ra[a:b].min(), (ra[a:b] + length[a:b]).max()
-        whole = items.texts[ri[a]][max(0, firsts - 12) : lasts + 12]
-        # windows around the spans, joined where they overlap
-        margin = 12
-        windows: list[list[int]] = []
-        for s in sorted(good):
-            lo, hi = max(0, s[0] - margin), min(len(document), s[1] + margin)
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(hi, windows[-1][1])
-            else:
-                windows.append([lo, hi])
-        places_ = np.concatenate([np.append(np.arange(lo, hi), -1) for lo, hi in windows])
-        window = np.where(places_ >= 0, document[places_], 0)
-        for matched, start, stop in align(whole, window):
-            yield doc_ids[rd[a]], items.ids[ri[a]], matched, int(places_[start]), int(places_[stop - 1]) + 1
+        found: list[tuple[int, int, int]] = []  # (words, from, to)
+        if sum(s[1] - s[0] for s in good) >= MIN_WORDS:  # an alignment does not reach beyond its span
+            found = aligned_spans(items.texts[ri[a]], document, sorted(good), int(ra[a:b].min()), int((ra[a:b] + length[a:b]).max()))
+        if sum(n for n, _, _ in found) < MIN_WORDS and sum(n for _, _, n in runs) >= MIN_WORDS:
+            points, pieces = chained(runs)
+            found = [(n, p, p + n) for p, _, n in pieces] if points >= MIN_WORDS else []
+        if sum(n for n, _, _ in found) >= MIN_WORDS:
+            for n, start, stop in found:
+                yield doc_ids[rd[a]], items.ids[ri[a]], n, start, stop
+
+
+def aligned_spans(item: np.ndarray, document: np.ndarray, spans: list[list[int]], first: int, last: int) -> list[tuple[int, int, int]]:
+    """(words, from, to) of the alignments of an item around spans of a document; the runs of the spans touch the
+    words first to last of the item."""
+    margin = 12
+    windows: list[list[int]] = []
+    for s in spans:  # joined where they overlap
+        lo, hi = max(0, s[0] - margin), min(len(document), s[1] + margin)
+        if windows and lo <= windows[-1][1]:
+            windows[-1][1] = max(hi, windows[-1][1])
+        else:
+            windows.append([lo, hi])
+    places = np.concatenate([np.append(np.arange(lo, hi), -1) for lo, hi in windows])
+    window = np.where(places >= 0, document[places], 0)
+    part = item[max(0, first - margin) : last + margin]
+    return [(n, int(places[start]), int(places[stop - 1]) + 1) for n, start, stop in align(part, window)]
 
 
 def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -342,8 +345,7 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
         def flush(ids: list[int], sequences: list[np.ndarray]) -> pd.DataFrame:
             found = list(leaks_in_shard(items, ids, sequences)) if ids else []
-            out = pd.DataFrame(found, columns=["doc_id", "item_id", "n_words", "first_word", "end_word"], dtype="int64")
-            return out[out.groupby(["doc_id", "item_id"])["n_words"].transform("sum") >= MIN_WORDS] if len(out) else out
+            return pd.DataFrame(found, columns=["doc_id", "item_id", "n_words", "first_word", "end_word"], dtype="int64")
 
         ids: list[int] = []
         sequences: list[np.ndarray] = []
