@@ -356,11 +356,17 @@ WHERE EXISTS (SELECT 1 FROM up u WHERE u.bundle_id = a.bundle_id AND u.person =
 OR (a.id < b.id AND EXISTS (SELECT 1 FROM edges x JOIN edges y USING (bundle_id, parent) WHERE x.bundle_id = a.bundle_id AND x.child = a.id AND y.child = b.id AND x.child <> x.parent AND y.child <> y.parent))"""
 _FAMILY_GROUPS = f"""WITH {_LATEST}, {_FAMS}, f AS (SELECT s.*, l.union_block.kind AS kind, try_cast(regexp_extract(l.union_block.start_block.date.value, '^[0-9]{{1,4}}') AS INTEGER) AS y FROM sets s JOIN l_families l ON l.bundle_id = s.bundle_id AND l.id = s.family_id)
 SELECT bundle_id, parents, min(family_id) AS keeper, string_agg(family_id, ',' ORDER BY family_id) AS ids, count(DISTINCT kind) > 1 OR coalesce(max(y) - min(y), 0) > 1 AS ambiguous FROM f GROUP BY bundle_id, parents HAVING count(*) > 1"""
+# what each word stands for, written out here so that the SQL does not share the tables of the expression
+_WORDS = [("(PRZED|AVANT|AV|VOR) ", "BEF "), ("(OK|OKOŁO|VERS|ENV|UM) ", "ABT "), ("(PO|APRÈS|APRES|AP|NACH) ", "AFT "), ("(MIĘDZY|ENTRE|ZWISCHEN) ", "BET "), (" (I|ET|UND) ", " AND "), (" ROKU| R[.]", "")]
 _QUALIFIED = "upper(trim(value))"
-for _old, _new in dates.QUALIFIERS:
-    _QUALIFIED = f"replace({_QUALIFIED}, '{_old}', '{_new}')"
-_QUALIFIED = f"regexp_replace(trim(replace(replace({_QUALIFIED}, ' ROKU', ''), ' R.', '')), ' R$', '')"
-_MONTHS = "MAP {" + ", ".join(f"'{m}': {n}" for m, n in dates.MONTH_OF.items()) + "}"
+for _old, _new in _WORDS:
+    _QUALIFIED = f"regexp_replace({_QUALIFIED}, '{_old}', '{_new}', 'g')"
+_QUALIFIED = f"regexp_replace(trim({_QUALIFIED}), ' R$', '')"
+_MONTHS = """MAP {'JAN': 1, 'JANUARY': 1, 'STYCZEŃ': 1, 'STYCZNIA': 1, 'JANVIER': 1, 'JANUAR': 1, 'FEB': 2, 'FEBRUARY': 2, 'LUTY': 2, 'LUTEGO': 2, 'FÉVRIER': 2, 'FEVRIER': 2, 'FEBRUAR': 2,
+'MAR': 3, 'MARCH': 3, 'MARZEC': 3, 'MARCA': 3, 'MARS': 3, 'MÄRZ': 3, 'MAERZ': 3, 'APR': 4, 'APRIL': 4, 'KWIECIEŃ': 4, 'KWIETNIA': 4, 'AVRIL': 4, 'MAY': 5, 'MAJ': 5, 'MAJA': 5, 'MAI': 5,
+'JUN': 6, 'JUNE': 6, 'CZERWIEC': 6, 'CZERWCA': 6, 'JUIN': 6, 'JUNI': 6, 'JUL': 7, 'JULY': 7, 'LIPIEC': 7, 'LIPCA': 7, 'JUILLET': 7, 'JULI': 7, 'AUG': 8, 'AUGUST': 8, 'SIERPIEŃ': 8, 'SIERPNIA': 8, 'AOÛT': 8, 'AOUT': 8,
+'SEP': 9, 'SEPT': 9, 'SEPTEMBER': 9, 'WRZESIEŃ': 9, 'WRZEŚNIA': 9, 'SEPTEMBRE': 9, 'OCT': 10, 'OCTOBER': 10, 'PAŹDZIERNIK': 10, 'PAŹDZIERNIKA': 10, 'OCTOBRE': 10, 'OKTOBER': 10,
+'NOV': 11, 'NOVEMBER': 11, 'LISTOPAD': 11, 'LISTOPADA': 11, 'NOVEMBRE': 11, 'DEC': 12, 'DECEMBER': 12, 'GRUDZIEŃ': 12, 'GRUDNIA': 12, 'DÉCEMBRE': 12, 'DECEMBRE': 12, 'DEZEMBER': 12}"""
 
 
 def _sql_iso(x: str) -> str:
