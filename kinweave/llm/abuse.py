@@ -22,6 +22,7 @@ a listed or learned word has no feature at all; repeated texts score alike.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -78,6 +79,7 @@ _LEET = str.maketrans("0134578@$!|€£", "oieastbasiiel")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:([ ._\-])[^\W_])(?:\1[^\W_])+(?:[^\W_]*)")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}<>,;:?…]+")
 _END = re.compile(r"[^\W\d_]{3}[.!?][.!?1]*$")
+_STRETCHED = re.compile(r"([a-z])\1\1+")
 _TAIL = re.compile(r"[.!?][.!?1]*$")
 
 
@@ -94,21 +96,28 @@ def _key(word: str) -> str:
 
 
 @functools.cache
-def _lexicon() -> tuple[dict[str, int], list[tuple[str, int]], dict[int, list[tuple[str, int]]]]:
-    """Whole keys -> classes as bits, beginnings -> bits, plain words by length for masked ones."""
+def _lexicon() -> tuple[dict[str, int], dict[str, list[tuple[str, int]]], dict[str, list[tuple[str, int]]], dict[int, dict[str, int]]]:
+    """Keys of whole words -> classes as bits; beginnings, and keys of beginnings, with their bits by their first two
+    letters; all of them as spelled by length, for masked words."""
     whole: dict[str, int] = {}
     begin: dict[str, int] = {}
-    plain: dict[str, int] = {}
+    by_length: dict[int, dict[str, int]] = {}
     for k, text in enumerate(CLASSES.values()):
         for w in text.split():
             w = _fold(w)
-            target, w = (begin, w[:-1]) if w.endswith("*") else (whole, w)
-            target[_key(w)] = target.get(_key(w), 0) | 1 << k
-            plain[w] = plain.get(w, 0) | 1 << k
-    by_length: dict[int, list[tuple[str, int]]] = {}
-    for w, bits in plain.items():
-        by_length.setdefault(len(w), []).append((w, bits))
-    return whole, list(begin.items()), by_length
+            if w.endswith("*"):
+                w = w[:-1]
+                begin[w] = begin.get(w, 0) | 1 << k
+            else:
+                whole[_key(w)] = whole.get(_key(w), 0) | 1 << k
+            spelled = by_length.setdefault(len(w), {})
+            spelled[w] = spelled.get(w, 0) | 1 << k
+    beginnings: dict[str, list[tuple[str, int]]] = {}
+    keyed: dict[str, list[tuple[str, int]]] = {}
+    for w, bits in begin.items():
+        beginnings.setdefault(w[:2], []).append((w, bits))
+        keyed.setdefault(_key(w)[:2], []).append((_key(w), bits))
+    return whole, beginnings, keyed, by_length
 
 
 @functools.lru_cache(1 << 17)
@@ -118,44 +127,46 @@ def _look_up(token: str) -> tuple[int, int, int, str]:
     core = token.strip(".!'’-–—_/\\*") if "*" not in token.strip("*.!'’") else token.strip(".!'’-–—_/\\")
     if not core:
         return 0, 0, 0, ""
-    shouted = int(len(core) > 3 and core.isupper())
     low = _fold(core)
-    whole, begin, by_length = _lexicon()
-    odd = any(c.isdigit() or c in "@$!|€£*" for c in low) and any(c.isalpha() for c in low)
-    stretched = bool(re.search(r"([a-z])\1\1", low))
-    if not odd and not stretched and low.isalpha():
-        key = _key(low)
-        bits = whole.get(key, 0)
+    letters = low.isalpha()
+    if not letters and not any(c.isalpha() for c in low):
+        return 0, 0, 0, ""
+    shouted = int(len(core) > 3 and core.isupper())
+    whole, beginnings, keyed, by_length = _lexicon()
+    odd = not letters and any(c.isdigit() or c in "@$!|€£*" for c in low)
+    stretched = bool(_STRETCHED.search(low))
+    if letters and not stretched:
+        bits = whole.get(_key(low), 0)
         # keys merge letters: an undisguised word must be spelled as listed
-        swapped = low.replace("v", "u") if "v" in low else ""
-        listed = {w for w, _ in by_length.get(len(low), ())} if bits else ()
+        listed = by_length.get(len(low), {})
         if bits and low not in listed:
+            swapped = low.replace("v", "u")
             if swapped in listed:  # v for u
                 return bits, 1, shouted, swapped
             bits = 0
-        for b, more in begin:
+        for b, more in beginnings.get(low[:2], ()):
             if low.startswith(b) and len(low) <= len(b) + 5:
                 bits |= more
         return bits, 0, shouted, low
     if "*" in low:
         plain = low.translate(_LEET)
-        pattern = re.compile(re.escape(plain).replace(r"\*", "[a-z]"))
+        fits = lambda w: [x == y for x, y in zip(plain, w) if x != "*"]
         bits, meant = 0, plain.replace("*", "")
-        for w, more in by_length.get(len(plain), ()):
-            if pattern.fullmatch(w):
+        for w, more in by_length.get(len(plain), {}).items():
+            if all(fits(w)):
                 bits, meant = bits | more, w
-        for b, more in begin:  # the beginning of a word of which two letters are shown at least
-            shown = [x == y for x, y in zip(plain, b) if x != "*"]
-            if len(b) <= len(plain) <= len(b) + 5 and len(shown) > 1 and all(shown):
-                bits, meant = bits | more, b + plain[len(b) :]
+        for listed in beginnings.values():
+            for b, more in listed:  # the beginning of a word of which two letters are shown at least
+                if len(b) <= len(plain) <= len(b) + 5 and all(shown := fits(b)) and len(shown) > 1:
+                    bits, meant = bits | more, b + plain[len(b) :]
         return bits, 1, shouted, meant
     spelled = "".join(c for c in (low.translate(_LEET) if odd else low) if c.isalpha())
     key = _key(spelled)
     bits = whole.get(key, 0)
-    for b, more in begin:
-        if key.startswith(_key(b)) and len(key) <= len(b) + 5:
+    for b, more in keyed.get(key[:2], ()):
+        if key.startswith(b) and len(key) <= len(b) + 5:
             bits |= more
-    return bits, int(odd or stretched), shouted, re.sub(r"(.)\1\1+", r"\1", spelled)
+    return bits, int(odd or stretched), shouted, _STRETCHED.sub(r"\1", spelled)
 
 
 def _joined(m: re.Match) -> str:
@@ -221,12 +232,11 @@ def analysed(text: str | None, words: frozenset[str]) -> tuple[np.ndarray, list[
         np.maximum(col["sexual"] - 1, 0).max(), shouted.max(), mark.max(), disguised.max() + apart, (sums[-1, k] + apart) * 100.0 / n, 0.0,
     ])
     windows: list[list[int]] = []
-    ends = [bool(_END.search(t)) for t in tokens]
     for i in hits:
         lo, hi = i, i + 1
-        while lo and lo > i - WINDOW and not ends[lo - 1]:
+        while lo and lo > i - WINDOW and not _END.search(tokens[lo - 1]):
             lo -= 1
-        while hi < n and hi <= i + WINDOW and not ends[hi - 1]:
+        while hi < n and hi <= i + WINDOW and not _END.search(tokens[hi - 1]):
             hi += 1
         if windows and lo < windows[-1][1]:
             windows[-1][1] = hi
@@ -254,23 +264,33 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray | None:
 
 def word_weights(judged: list[tuple[list[list[str]], float, float]], rounds: int = 8, strength: float = 4.0) -> dict[str, float]:
     """Shrunken log odds of the words near hits, (windows, verdict, weight) each.  Of an offending text only the
-    window that speaks most for it counts, found in turns with the weights; of others every window does."""
+    window that speaks most for it counts, found in turns with the weights until none changes; of others every
+    window does."""
+    against, sure = Counter(), Counter()
+    open_: list[tuple[list[list[str]], float]] = []  # offending texts with a choice of windows
+    for windows, y, w in judged:
+        for ws in windows:
+            for x in ws if y < 1 else ():
+                against[x] += (1 - y) * w
+        if y > 0 and len(windows) == 1:
+            for x in windows[0]:
+                sure[x] += y * w
+        elif y > 0 and windows:
+            open_.append((windows, y * w))
     weights: dict[str, float] = {}
+    chosen = None
     for _ in range(rounds):
-        for_, against = Counter(), Counter()
-        for windows, y, w in judged:
-            if not windows:
-                continue
-            worst = max(windows, key=lambda ws: sum(weights.get(x, 0.0) for x in ws))
-            for ws in windows:
-                for x in ws:
-                    if ws is worst:
-                        for_[x] += y * w
-                    against[x] += (1 - y) * w
+        worst = [max(range(len(ws)), key=lambda k: sum(weights.get(x, 0.0) for x in ws[k])) for ws, _ in open_]
+        if worst == chosen:
+            break
+        chosen, for_ = worst, sure.copy()
+        for k, (windows, weight) in zip(worst, open_, strict=True):
+            for x in windows[k]:
+                for_[x] += weight
         total_for, total = sum(for_.values()) or 1.0, sum(against.values()) or 1.0
         share = total_for / (total_for + total)
         weights = {
-            x: float(np.clip(np.log((for_[x] + strength * share) / (against[x] + strength * (1 - share)) * (1 - share) / share), -2.5, 2.5))
+            x: min(2.5, max(-2.5, math.log((for_[x] + strength * share) / (against[x] + strength * (1 - share)) * (1 - share) / share)))
             for x in for_.keys() | against.keys()
             if for_[x] + against[x] > 1.5
         }
@@ -383,6 +403,12 @@ class Scorer:
                     x[i] = held[i][0]
                     x[i, -1] = context(held[i][1], weights)
         self.lexicon = Lexicon(words, word_weights([(r[1], r[2], r[3]) for r in judged]))
+        # texts without a hit are all alike: one row a fold stands for them
+        hit = x.any(axis=1)
+        alike = [(fold == k) & ~hit for k in range(FOLDS) if ((fold == k) & ~hit).any()]
+        x = np.concatenate((x[hit], np.zeros((len(alike), len(FEATURES)))))
+        y = np.concatenate((y[hit], [np.average(y[m], weights=w[m]) for m in alike]))
+        w, fold = np.concatenate((w[hit], [w[m].sum() for m in alike])), np.concatenate((fold[hit], [fold[m][0] for m in alike]))
         out = np.zeros(len(y))
         for k in range(FOLDS):
             train = fold != k
