@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.operators import hierarchy, orphans
 from kinweave.plans.workspace import table
@@ -25,7 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.lines_with_paths(spark, _links(spark, d))
+    """Every line as one text, from the person up to the founder."""
+    return hierarchy.lines_with_paths(spark, _links(spark, d)).withColumn("path", F.array_join("path", ">"))
 
 
 def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +96,23 @@ SELECT table_name, record_id, field_name, target_id,
 FROM refs r LEFT JOIN targets t USING (target_table, target_id)
 WHERE t.target_id IS NULL OR NOT alive OR born > asked"""
 
+# distances over links between different persons; no shortest line is longer than there are persons
+_BOUND = "bound AS (SELECT count(DISTINCT child) + 1 AS most FROM links)"
+_DEPTH = f"""{_LINKS}, {_BOUND},
+depth(person, root, steps) AS (SELECT l.child, l.parent, 1 FROM links l SEMI JOIN founders f ON f.root = l.parent UNION SELECT l.child, d.root, d.steps + 1 FROM depth d JOIN links l ON l.parent = d.person CROSS JOIN bound b WHERE d.steps < b.most),
+dist AS (SELECT person, root, min(steps) AS steps FROM depth GROUP BY ALL)"""
+_PATHS = f"""WITH RECURSIVE {_DEPTH},
+onward AS (SELECT d.person, d.root, min(l.parent) AS nxt FROM dist d JOIN links l ON l.child = d.person AND l.parent <> d.person LEFT JOIN dist u ON u.person = l.parent AND u.root = d.root
+  WHERE (d.steps = 1 AND l.parent = d.root) OR u.steps = d.steps - 1 GROUP BY ALL),
+walk(person, root, nxt, path) AS (SELECT person, root, nxt, [person] FROM onward UNION ALL SELECT w.person, w.root, n.nxt, list_append(w.path, w.nxt) FROM walk w JOIN onward n ON n.person = w.nxt AND n.root = w.root WHERE w.nxt <> w.root)
+SELECT person AS person_id, root AS root_id, CAST(len(path) AS INTEGER) AS steps, array_to_string(list_append(path, root), '>') AS path FROM walk WHERE nxt = root
+UNION ALL SELECT person, 'CYCLE', NULL, NULL FROM up WHERE person = ancestor"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (p1_found, _P1),
-    "p1_lines": (p1_lines, None),
-    "p1_descendants": (p1_descendants, f"WITH RECURSIVE {_LINKS}, depth(person, root, steps) AS (SELECT l.child, l.parent, 1 FROM links l SEMI JOIN founders f ON f.root = l.parent UNION SELECT l.child, d.root, d.steps + 1 FROM depth d JOIN links l ON l.parent = d.person WHERE d.steps < 60) SELECT root AS root_id, count(*) AS n_descendants, max(steps) AS max_steps FROM (SELECT person, root, min(steps) AS steps FROM depth GROUP BY ALL) GROUP BY ALL"),
-    "p1_all_descendants": (p1_all_descendants, f"WITH RECURSIVE {_LINKS}, far(person, ancestor, steps) AS (SELECT child, parent, 1 FROM links UNION SELECT f.person, l.parent, f.steps + 1 FROM far f JOIN links l ON l.child = f.ancestor WHERE f.steps < 60) SELECT ancestor AS ancestor_id, person AS person_id, min(steps) AS steps FROM far GROUP BY ALL"),
+    "p1_lines": (p1_lines, _PATHS),
+    "p1_descendants": (p1_descendants, f"WITH RECURSIVE {_DEPTH} SELECT root AS root_id, count(*) AS n_descendants, max(steps) AS max_steps FROM dist GROUP BY ALL"),
+    "p1_all_descendants": (p1_all_descendants, f"WITH RECURSIVE {_LINKS}, {_BOUND}, far(person, ancestor, steps) AS (SELECT child, parent, 1 FROM links UNION SELECT f.person, l.parent, f.steps + 1 FROM far f JOIN links l ON l.child = f.ancestor CROSS JOIN bound b WHERE f.steps < b.most) SELECT ancestor AS ancestor_id, person AS person_id, min(steps) AS steps FROM far GROUP BY ALL"),
     "p6_found": (p6_found, _P6),
     "p6_report": (p6_report, f"SELECT table_name, field_name, reason, period, count(*) AS n_references FROM ({_P6}) GROUP BY ALL"),
 }

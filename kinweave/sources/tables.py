@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,14 @@ def _body(kind: str, *fields: Column) -> Column:
     return F.to_json(F.struct(F.col("id"), F.lit(kind).alias("type"), F.lit("1.0").alias("axgf_version"), *fields)).alias("body")
 
 
-def entities_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle_id, collection, id, body) of the latest row of every entity."""
-    read = lambda name: latest(table(spark, sf_dir, name))
+def entities_from_tables(spark: SparkSession, sf_dir: str, changed: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(bundle_id, collection, id, body) of the latest row of every entity; ``changed`` edits the rows of a table
+    before they become documents."""
+
+    def read(name: str) -> DataFrame:
+        rows = latest(table(spark, sf_dir, name))
+        return changed[name](rows) if changed and name in changed else rows
+
     name = F.col("identity.name")
     person = _body(
         "person",

@@ -51,10 +51,10 @@ def test_counts_of_all_diagnostics(spark, folder):
     codes = Counter()
     for (code, _), n in want.items():
         codes[code] += n
-    assert {r.code: r.n for r in bundle_queries.diagnostics_by_code_all(spark, d).collect()} == +codes
+    assert {r.code: r.n for r in bundle_queries.diagnostics_by_code(spark, d).collect()} == +codes
     errors = lambda b: want["CYCLE_DETECTED", b]
     total = lambda b: sum(n for (_, x), n in want.items() if x == b)
-    got = {tuple(r) for r in bundle_queries.severity_counts_all(spark, d).collect()}
+    got = {tuple(r) for r in bundle_queries.severity_counts(spark, d).collect()}
     assert got == {(b, errors(b), total(b) - errors(b), 0, total(b)) for b in "bc"}
 
 
@@ -111,6 +111,6 @@ def test_deleting_and_joining_reach_every_collection(spark, folder):
     assert {tuple(r) for r in bundle_queries.delete_cascade_changes(spark, d).collect()} == {
         row("families", 3, "person_id", x, 2), row("events", 4, "entity_id", x), row("links", 5, "entity_id", x), row("occupations", 6, "person_id", x),
     }
-    both = bundle_queries.bundle_union_all(spark, d).collect()
+    both = bundle_queries.bundle_union(spark, d).collect()
     assert Counter(r.collection for r in both) == {"places": 2, "persons": 2, "families": 1, "events": 1, "links": 1, "occupations": 2, "sources": 1}
     assert all(r.replaced == (r.id[-1] < "8") for r in both)
