@@ -84,28 +84,47 @@ class _Contraction:
     """The state of one run, all as written tables.
 
     live(child, parent, steps) are the links left; gathered(child, root, steps) holds each founder that a
-    person still there reaches by links already contracted.
+    person still there reaches by links already contracted.  With paths both also have through, the persons
+    between the two ends: of the shortest ways the first in the order of these persons' ids.
     """
 
-    def __init__(self, spark: SparkSession, links: DataFrame):
+    def __init__(self, spark: SparkSession, links: DataFrame, paths: bool = False):
         self.ws = Workspace(spark, "hierarchy")
+        self.way = ["steps", "through"] if paths else ["steps"]
         every = self.ws.cut(links.select("child", "parent").distinct())
         self.loops = every.where("child = parent").select(F.col("child").alias("person"))
         self.marks = [self.loops]
         has_parent = every.select(F.col("child").alias("parent")).distinct()
         # one pass over the links tells founders from the rest
+        nobody = F.array().cast("array<string>").alias("through")
         marked, seen = self.ws.cut_counted(
             every.where("child <> parent")
             .join(has_parent.withColumn("inner", F.lit(True)), "parent", "left")
-            .select("child", "parent", F.lit(1).alias("steps"), F.col("inner").isNotNull().alias("inner")),
+            .select("child", "parent", *[F.lit(1).alias("steps"), nobody][: len(self.way)], F.col("inner").isNotNull().alias("inner")),
             inner="inner",
         )
-        self.gathered = marked.where("not inner").select("child", F.col("parent").alias("root"), "steps")
-        self.live = marked.where("inner").select("child", "parent", "steps")
+        self.gathered = marked.where("not inner").select("child", F.col("parent").alias("root"), *self.way)
+        self.live = marked.where("inner").select("child", "parent", *self.way)
         self.n_live = seen["inner"]
         self.rounds: list[_Round] = []
         self.looping = False
 
+    def _first_part(self, end: str = "parent") -> list:
+        """The columns of a way whose end is the begin of another, to be joined on via."""
+        return ["child", F.col(end).alias("via"), *[F.col(c).alias(f"on_{c}") for c in self.way]]
+
+    def _whole_way(self) -> list:
+        """The columns of two ways joined on via, as one."""
+        through = F.concat("on_through", F.array("via"), "through").alias("through")
+        return [(F.col("steps") + F.col("on_steps")).alias("steps"), through][: len(self.way)]
+
+    def _shortest(self, ways: DataFrame, *ends: str, **more) -> DataFrame:
+        """One way for each pair of ends, with the greatest of each further column."""
+        more = [F.max(c).alias(c) for c in more]
+        if len(self.way) == 1:
+            return ways.groupBy(*ends).agg(F.min("steps").alias("steps"), *more)
+        return ways.groupBy(*ends).agg(F.min(F.struct(*self.way)).alias("way"), *more).select(*ends, "way.*", *[c for c in ways.columns if c in ("ck", "pk", "kind")])
+
     def contract(self) -> None:
         slack = 0
         while self.n_live:
@@ -128,16 +147,14 @@ class _Contraction:
             links=f"kind = {LINK}",
         )
         of = lambda end, name: nodes.select(F.col("v").alias(end), F.col("kind").alias(name))
-        known = self.ws.cut(self.live.join(of("child", "ck"), "child").join(of("parent", "pk"), "parent").select("child", "parent", "steps", "ck", "pk"))
+        known = self.ws.cut(self.live.join(of("child", "ck"), "child").join(of("parent", "pk"), "parent").select("child", "parent", *self.way, "ck", "pk"))
         above = known.where(f"ck = {LINK}")
         below = known.where(f"pk = {LINK}")
         rest = known.where(f"ck <> {LINK} and pk <> {LINK}")
         if seen["links"]:
-            past = below.select("child", "ck", F.col("parent").alias("via"), F.col("steps").alias("on")).join(
-                above.select(F.col("child").alias("via"), "parent", "steps", "pk"), "via"
-            )
-            rest = rest.unionByName(past.select("child", "parent", (F.col("steps") + F.col("on")).alias("steps"), "ck", "pk"))
-            rest = rest.groupBy("child", "parent").agg(F.min("steps").alias("steps"), F.max("ck").alias("ck"), F.max("pk").alias("pk"))
+            past = below.select(*self._first_part(), "ck").join(above.drop("ck").withColumnRenamed("child", "via"), "via")
+            rest = rest.unionByName(past.select("child", "parent", *self._whole_way(), "ck", "pk"))
+            rest = self._shortest(rest, "child", "parent", ck=True, pk=True)
             rest, counts = self.ws.cut_counted(rest, around="child = parent", stay=f"child <> parent and ck = {STAY} and pk = {STAY}")
             if counts["around"]:
                 self.looping = True
@@ -148,34 +165,28 @@ class _Contraction:
             n_live = rest.where(f"ck = {STAY} and pk = {STAY}").count()
         tops = rest.where(f"pk = {TOP}")
         heirs = below.unionByName(tops.where(f"ck <> {LEAF}"))
-        got = heirs.select("child", F.col("parent").alias("via"), F.col("steps").alias("on"), F.col("ck").alias("kind")).join(
-            self.gathered.withColumnRenamed("child", "via"), "via"
-        )
+        got = heirs.select(*self._first_part(), F.col("ck").alias("kind")).join(self.gathered.withColumnRenamed("child", "via"), "via")
         # persons without any link left are done as well
         own = self.gathered.join(of("child", "kind"), "child", "left").withColumn("kind", F.coalesce("kind", F.lit(TOP)))
-        roots = self.ws.cut(
-            own.unionByName(got.select("child", "root", (F.col("steps") + F.col("on")).alias("steps"), "kind"))
-            .groupBy("child", "root")
-            .agg(F.min("steps").alias("steps"), F.max("kind").alias("kind"))
-        )
-        up = above.unionByName(rest.where(f"ck = {LEAF}")).select("child", "parent", "steps")
+        ways = own.unionByName(got.select("child", "root", *self._whole_way(), "kind"))
+        roots = self.ws.cut(self._shortest(ways, "child", "root", kind=True))
+        up = above.unionByName(rest.where(f"ck = {LEAF}")).select("child", "parent", *self.way)
         down = below.unionByName(tops).select("child", "parent")
         self.rounds.append(_Round(up, down, roots.where(f"kind <> {STAY}"), seen["links"]))
         self.gathered = roots.where(f"kind = {STAY}").drop("kind")
-        self.live = rest.where(f"ck = {STAY} and pk = {STAY}").select("child", "parent", "steps")
+        self.live = rest.where(f"ck = {STAY} and pk = {STAY}").select("child", "parent", *self.way)
         self.n_live = n_live
         return seen["gone"] / seen["n"]
 
     def founders(self) -> DataFrame:
-        """(child, root, steps), reversing the recorded contractions."""
+        """(child, root, steps[, through]), reversing the recorded contractions."""
         done = [self.gathered]
         for k in reversed(range(len(self.rounds))):
             r = self.rounds[k]
             done.append(r.roots.where(f"kind = {TOP}").drop("kind"))
-            further = r.up.select("child", "parent", F.col("steps").alias("on")).join(_union(done).withColumnRenamed("child", "parent"), "parent")
+            further = r.up.select(*self._first_part()).join(_union(done).withColumnRenamed("child", "via"), "via")
             own = r.roots.where(f"kind <> {TOP}").drop("kind")
-            got = own.unionByName(further.select("child", "root", (F.col("steps") + F.col("on")).alias("steps")))
-            got = got.groupBy("child", "root").agg(F.min("steps").alias("steps"))
+            got = self._shortest(own.unionByName(further.select("child", "root", *self._whole_way())), "child", "root")
             done.append(self.ws.cut(got) if k else got)
         return _union(done)
 
@@ -216,11 +227,9 @@ def lines_of_descent(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def _descent(state: _Contraction) -> DataFrame:
     state.contract()
-    lines = state.founders().select(F.col("child").alias("person_id"), F.col("root").alias("root_id"), "steps")
-    loops = state.cyclic().select(
-        F.col("person").alias("person_id"), F.lit(CYCLE).alias("root_id"), F.lit(None).cast("int").alias("steps")
-    )
-    return lines.unionByName(loops)
+    lines = state.founders().select(F.col("child").alias("person_id"), F.col("root").alias("root_id"), *state.way)
+    loops = state.cyclic().select(F.col("person").alias("person_id"), F.lit(CYCLE).alias("root_id"), F.lit(None).cast("int").alias("steps"))
+    return lines.unionByName(loops, allowMissingColumns=True)
 
 
 def descendants(lines: DataFrame) -> DataFrame:
@@ -236,37 +245,10 @@ def lines_with_paths(spark: SparkSession, links: DataFrame) -> DataFrame:
     """The lines of descent with path, the persons of each line from the person up to the founder; null for
     loops.  Of several lines with the fewest steps it is the one by the least parent at every step.
 
-    Each line points at the parent that it goes on with; pointer doubling gathers the persons passed."""
-    ws = Workspace(spark, "paths")
-    state = _Contraction(spark, links)
-    lines = ws.cut(_descent(state))
-    state.ws.clear()
-    real = lines.where("steps is not null")
-    up = F.struct((F.col("steps") + 1).alias("steps"), F.col("parent").alias("at"))
-    further = (
-        links.select("child", "parent").distinct().where("child <> parent")
-        .join(real.withColumnRenamed("person_id", "parent"), "parent")
-        .select(F.col("child").alias("person_id"), "root_id", up.alias("up"))
-    )
-    direct = real.where("steps = 1").select("person_id", "root_id", F.struct("steps", F.col("root_id").alias("at")).alias("up"))
-    pointer = further.unionByName(direct).groupBy("person_id", "root_id").agg(F.min("up")["at"].alias("at"))
-    left, seen = ws.cut_counted(
-        pointer.select("person_id", "root_id", "at", F.array("person_id").alias("path")), open="at <> root_id"
-    )
-    done = [left.where("at = root_id")]
-    while seen["open"]:
-        known = _union([*done, left.where("at <> root_id")]).select(
-            F.col("person_id").alias("at"), "root_id", F.col("at").alias("next"), F.col("path").alias("more")
-        )
-        left, seen = ws.cut_counted(
-            left.where("at <> root_id").join(known, ["at", "root_id"])
-            .select("person_id", "root_id", F.col("next").alias("at"), F.concat("path", "more").alias("path")),
-            open="at <> root_id",
-        )
-        done.append(left.where("at = root_id"))
-    whole = _union(done).select("person_id", "root_id", F.concat("path", F.array("root_id")).alias("path"))
-    whole = whole.select("person_id", "root_id", (F.size("path") - 1).alias("steps"), "path")
-    return whole.unionByName(lines.where("steps is null").withColumn("path", F.lit(None).cast("array<string>")))
+    The contracted links keep the persons that they pass, so reversing the contractions gives the paths."""
+    lines = _descent(_Contraction(spark, links, paths=True))
+    path = F.when(F.col("steps").isNotNull(), F.concat(F.array("person_id"), "through", F.array("root_id")))
+    return lines.select("person_id", "root_id", "steps", path.alias("path"))
 
 
 def all_descendants(spark: SparkSession, links: DataFrame) -> DataFrame:
