@@ -128,28 +128,44 @@ class Reference:
         return 0 if length < 4 else 1 if length < 8 else 2
 
     def within(self, word: str, limit: int) -> dict[str, int]:
-        """code -> distance of all entries within limit of word."""
+        """code -> distance of all entries within limit of word.
+
+        A state of the automaton is the row of the edit-distance table near its diagonal: cells further away than
+        limit are beyond it anyway."""
         found: dict[str, int] = {}
-        n = len(word)
-        stack = [(self.trie, "", list(range(n + 1)), None)]
+        n, far = len(word), limit + 1
+        stack = [(self.trie, "", 0, [min(j, far) for j in range(n + 1)], None)]
         while stack:
-            node, last, row, before = stack.pop()
+            node, last, depth, row, before = stack.pop()
             codes = node.get(self.END)
             if codes and row[n] <= limit:
                 for c in codes:
                     if row[n] < found.get(c, 99):
                         found[c] = row[n]
+            depth += 1
+            first, stop = max(1, depth - limit), min(n, depth + limit)
+            if first > n:  # longer than the word by more than limit
+                continue
             for c, child in node.items():
                 if c == self.END:
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    cost = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if before and j > 1 and word[j - 2] == c and word[j - 1] == last:
-                        cost = min(cost, before[j - 2] + 1)
-                    new.append(cost)
-                if min(new) <= limit or (row and min(row) <= limit - 1):
-                    stack.append((child, c, new, row))
+                new = [far] * (n + 1)
+                if depth <= limit:
+                    new[0] = depth
+                least, left = new[0], new[first - 1]
+                for j in range(first, stop + 1):
+                    cost = row[j - 1] + (word[j - 1] != c)
+                    if row[j] < cost - 1:
+                        cost = row[j] + 1
+                    if left < cost - 1:
+                        cost = left + 1
+                    if before and j > 1 and word[j - 2] == c and word[j - 1] == last and before[j - 2] + 1 < cost:
+                        cost = before[j - 2] + 1
+                    new[j] = left = cost if cost < far else far
+                    if left < least:
+                        least = left
+                if least <= limit or min(row) < limit:  # a transposition may come back from the row before
+                    stack.append((child, c, depth, new, row))
         return found
 
     @staticmethod
