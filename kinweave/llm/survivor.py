@@ -83,11 +83,11 @@ def claims(persons: DataFrame) -> DataFrame:
     )
 
 
-def latent_truth(persons: DataFrame, most_rounds: int = 30, still: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def latent_truth(persons: DataFrame, most_rounds: int = 30, still: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """values (id, field_name, value, n_sources, probability, kept) and sources (source, field_name,
     sensitivity, specificity).  kept: of a date the likeliest value, of names every value of probability
-    one half or more.  The share of true values of each field is estimated along.  The rounds end when no
-    sensitivity, specificity or share moves by more than still, or after most_rounds."""
+    one half or more.  The prior share of true values of a field counts one for each entity.  The rounds end when
+    no sensitivity or specificity moves by more than still, or after most_rounds."""
     ws = Workspace(persons.sparkSession, "truth")
     said = ws.cut(claims(persons))
     group = ["id", "field_name"]
@@ -95,7 +95,10 @@ def latent_truth(persons: DataFrame, most_rounds: int = 30, still: float = 1e-3)
     quality = covers.select("source", "field_name").distinct().select(
         "source", "field_name", F.lit(0.8).alias("sensitivity"), F.lit(0.9).alias("specificity")
     )
-    values, share = None, dict.fromkeys(FIELDS, 0.3)
+    named = said.select(*group, "value").distinct().groupBy(*group).count()
+    counts = named.groupBy("field_name").agg(F.count("*").alias("entities"), F.sum("count").alias("values")).collect()
+    share = dict.fromkeys(FIELDS, 0.5) | {r.field_name: min(0.9, r.entities / r["values"]) for r in counts}
+    values = None
     for _ in range(most_rounds):
         odds = quality.select(
             "source",
@@ -132,10 +135,8 @@ def latent_truth(persons: DataFrame, most_rounds: int = 30, still: float = 1e-3)
         new = ws.cut(rates.withColumn("specificity", F.greatest("specificity", 1 - F.col("sensitivity"))))
         before = quality.select("source", "field_name", F.col("sensitivity").alias("s"), F.col("specificity").alias("t"))
         moved = new.join(before, ["source", "field_name"]).agg(F.max(F.greatest(F.abs(F.col("sensitivity") - F.col("s")), F.abs(F.col("specificity") - F.col("t"))))).first()[0]
-        means = {r.field_name: min(0.95, max(0.05, r.p)) for r in values.groupBy("field_name").agg(F.avg("probability").alias("p")).collect()}
-        moved = max([moved or 0.0, *(abs(p - share[f]) for f, p in means.items())])
-        quality, share = new, share | means
-        if moved <= still:
+        quality = new
+        if (moved or 0.0) <= still:
             break
     best = values.groupBy(*group).agg(F.max(F.struct("probability", "value")).alias("best"))
     kept = F.when(F.col("field_name") == "names", F.col("probability") >= 0.5).otherwise(
