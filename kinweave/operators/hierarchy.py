@@ -256,9 +256,15 @@ def all_descendants(spark: SparkSession, links: DataFrame) -> DataFrame:
     who is their own ancestor comes out as their own descendant.
 
     Distances double: what is up to h steps away goes on from the ancestors exactly h steps away; only pairs
-    that are new are written."""
+    that are new are written.  Persons are numbered first, so the pairs that go about are small."""
     ws = Workspace(spark, "descendants")
-    first, seen = ws.cut_counted(links.select("child", "parent").distinct().withColumn("steps", F.lit(1)), far="steps = 1")
+    named = ws.cut(links.select("child", "parent").distinct())
+    people = named.select(F.inline(F.array(F.struct(F.col("child").alias("name")), F.struct(F.col("parent").alias("name"))))).distinct()
+    people = ws.cut(people.withColumn("number", F.monotonically_increasing_id()))  # written, so the numbers stay
+    of = lambda end: people.select(F.col("name").alias(f"{end}_name"), F.col("number").alias(end))
+    pairs = named.select(F.col("child").alias("child_name"), F.col("parent").alias("parent_name"))
+    pairs = pairs.join(of("child"), "child_name").join(of("parent"), "parent_name").select("child", "parent", F.lit(1).alias("steps"))
+    first, seen = ws.cut_counted(pairs, far="steps = 1")
     reach, last, h = [first], first, 1
     while seen["far"]:
         up = _union(reach).select(F.col("child").alias("parent"), F.col("parent").alias("next"), F.col("steps").alias("more"))
@@ -270,4 +276,5 @@ def all_descendants(spark: SparkSession, links: DataFrame) -> DataFrame:
         h *= 2
         last, seen = ws.cut_counted(longer.join(_union(reach), ["child", "parent"], "left_anti"), far=f"steps = {h}")
         reach.append(last)
-    return _union(reach).select(F.col("parent").alias("ancestor_id"), F.col("child").alias("person_id"), "steps")
+    whole = _union(reach).join(of("child"), "child").join(of("parent"), "parent")
+    return whole.select(F.col("parent_name").alias("ancestor_id"), F.col("child_name").alias("person_id"), "steps")
