@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import rawjson
+from kinweave.plans.workspace import Workspace
 
 SUPPORTED_SPEC_VERSIONS = ("1.0",)
 CURRENT_SPEC_VERSION = "1.0"
@@ -106,11 +107,18 @@ def refreshed(manifests: DataFrame, entities: DataFrame, at: str | None = None)
     return manifests.join(counts, "bundle_id", "left").select("bundle_id", "body", "counts").mapInPandas(run, MANIFEST_SCHEMA)
 
 
+def within(rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """The rows of bundles that have one of the manifests.  Which bundles have none is found from the ids alone; where
+    there is no such bundle, the usual case, the bodies need no exchange."""
+    ws = Workspace(rows.sparkSession, "within")
+    others, seen = ws.cut_counted(rows.select("bundle_id").distinct().join(manifests.select("bundle_id"), "bundle_id", "left_anti"))
+    return rows if not seen["n"] else rows.where("bundle_id is not null").join(others, "bundle_id", "left_anti")
+
+
 def admitted(bundles: Bundles) -> tuple[Bundles, DataFrame]:
     """The bundles of a supported version, and one diagnostic for each of the others."""
     manifests, refused = version_gate(bundles.manifests)
-    ids = manifests.select("bundle_id")
-    kept = lambda df: None if df is None else df.join(ids, "bundle_id", "left_semi")
+    kept = lambda df: None if df is None else within(df, manifests)
     return Bundles(kept(bundles.entities), manifests, kept(bundles.attachments), kept(bundles.extras), bundles.diagnostics), refused
 
 

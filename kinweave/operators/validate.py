@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators import refs, typed
-from kinweave.operators.bundle import Bundles, version_gate
+from kinweave.operators.bundle import Bundles, version_gate, within
 from kinweave.operators.hierarchy import _Contraction
 
 
@@ -140,7 +140,7 @@ def broken_manifests(manifests: DataFrame) -> DataFrame:
 def validate(bundles: Bundles) -> DataFrame:
     """All diagnostics of all bundles; refused bundles have their one."""
     accepted, refused = version_gate(bundles.manifests)
-    entities = bundles.entities.join(accepted.select("bundle_id"), "bundle_id", "left_semi")
+    entities = within(bundles.entities, accepted)
     fams, people = typed.families(entities), typed.people(entities)
     ref = lambda collection, c: F.concat(F.lit(collection + "/"), c)
     own = F.concat_ws("/", "collection", "id")
