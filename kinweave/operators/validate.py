@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import refs, typed
 from kinweave.operators.bundle import Bundles, version_gate, within
 from kinweave.operators.hierarchy import _Contraction
+from kinweave.plans.workspace import Workspace
 
 
 def _finding(df: DataFrame, phase: int, code: str, severity: str, message, entity_ref, seq) -> DataFrame:
@@ -141,7 +142,9 @@ def validate(bundles: Bundles) -> DataFrame:
     """All diagnostics of all bundles; refused bundles have their one."""
     accepted, refused = version_gate(bundles.manifests)
     entities = within(bundles.entities, accepted)
-    fams, people = typed.families(entities), typed.people(entities)
+    # read from the documents once; four of the passes go over them
+    ws = Workspace(entities.sparkSession, "validate")
+    fams, people = ws.cut(typed.families(entities)), ws.cut(typed.people(entities))
     ref = lambda collection, c: F.concat(F.lit(collection + "/"), c)
     own = F.concat_ws("/", "collection", "id")
     text = lambda s: F.lit(s)
