@@ -1,6 +1,7 @@
 import itertools
 import random
 import unicodedata
+import uuid
 from collections import Counter
 
 import pandas as pd
@@ -108,6 +109,38 @@ def test_hot_bundle_of_one_family_name(spark, tables):
     assert [tuple(r) for r in spellings.variant_pairs(tables("persons", people)).collect()] == [("p0005", "x")]
 
 
+def _shuffled(spark):
+    """Bytes written to shuffles so far, all stages together."""
+    return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+
+def test_people_meet_as_numbers(spark, tables):
+    # most people have nobody to meet: neither their keys nor their names may go about more than once
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).title()
+    key = lambda: str(uuid.UUID(int=rng.getrandbits(128)))
+    bundles, families = [key() for _ in range(20)], [word(8) for _ in range(400)]
+    people = [
+        {"row_id": i, "id": key(), "bundle_id": rng.choice(bundles), "identity": {"name": {"display": f"{word(6)} {word(5)} {rng.choice(families)}"}}, "birth": {"date": {"value": str(rng.randint(1500, 1999))}}}
+        for i in range(4000)
+    ]
+    twin = {**people[7], "row_id": 4000, "id": "twin"}
+    before = _shuffled(spark)
+    got = [tuple(sorted(r)) for r in spellings.variant_pairs(tables("persons", [*people, twin])).collect()]
+    assert tuple(sorted((people[7]["id"], "twin"))) in got
+    assert (_shuffled(spark) - before) / len(people) < 600  # measured: 207; 1,643 when whole rows met
+
+
+def test_families_of_a_place_meet_by_their_keys(spark):
+    # more families in a bundle and year than are compared with each other: the keys lose no pair
+    rng = random.Random(10)
+    tokens = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(600)}
+    few, many = sorted(tokens)[: spellings.FEW], sorted(tokens)
+    df = spark.createDataFrame([(1, t) for t in many] + [(2, t) for t in few], "place long, family string")
+    got = {(r.place, r.family, o) for r in spellings.neighbours(df).collect() for o in r.others}
+    assert got == {(p, a, b) for p, ts in ((1, many), (2, few)) for a, b in itertools.combinations(ts, 2) if spellings._near(a, b)}
+
+
 def test_passage_in_many_pieces(spark, tables):
     words = [f"word{i}" for i in range(40)]
     items = tables("eval_items", [{"item_id": 1, "text": " ".join(words)}])
